@@ -1,16 +1,17 @@
 """Porter stemming (M. F. Porter, 1980, with the usual small extensions) as an Arrow function.
 
-The only Python in the text path. Stems are cached per worker, so the work per token is one
+The only Python in the text path. Stems are cached per task, so the work per token is one
 dictionary look-up and a note never leaves its partition.
 """
 
-from __future__ import annotations
-
 import re
-from functools import lru_cache
+import sys
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: words the suffix rules would spoil -----------------------------------------
 IRREGULAR = {
@@ -140,7 +141,6 @@ def _tidy(word: str) -> str:
     return word
 
 
-@lru_cache(maxsize=1 << 18)
 def stem_word(word: str) -> str:
     word = word.lower()
     if word in IRREGULAR:
@@ -152,8 +152,26 @@ def stem_word(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
-def stem_text(texts: pd.Series) -> pd.Series:
+class _Stems(dict):
+    """Word to stem, filled on first sight; starts over when it grows past its limit."""
+
+    limit = 1 << 18
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = stem_word(word)
+        return self[word]
+
+
+# executors need no installed copy of this module: the function travels with the plan
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+@F.pandas_udf(T.StringType())
+def stem_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem every blank-separated word of each text."""
-    return texts.map(lambda text: None if text is None else
-                     " ".join(stem_word(w) for w in text.split(" ")).strip())
+    stems = _Stems()
+    for texts in batches:
+        yield texts.map(lambda text: None if text is None else
+                        " ".join([stems[w] for w in text.split(" ")]).strip())

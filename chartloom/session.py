@@ -21,6 +21,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # windows-1252 note exports: the JVM charset list is needed to decode them
         .config("spark.sql.legacy.javaCharsets", "true")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false" if (master or "").startswith("local") else "true")
     )
     if master:
