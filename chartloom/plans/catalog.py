@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from chartloom.plans import relational, texts  # noqa: F401
+from chartloom.plans import extraction, relational, texts  # noqa: F401
 from chartloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -37,9 +37,10 @@ def regex_sql(inner: str, rules) -> str:
 
 
 def dedupe_sql(inner: str) -> str:
-    """For blank-separated words."""
-    return (f"array_to_string(list_filter(string_split({inner}, ' '), "
-            f"lambda w, i: i = 1 OR w <> string_split({inner}, ' ')[i - 1]), ' ')")
+    """For blank-separated words: each word next to its predecessor, equal pairs dropped."""
+    words = f"string_split({inner}, ' ')"
+    return (f"array_to_string(list_transform(list_filter(list_zip({words}, list_prepend(NULL, {words})), "
+            f"lambda p: p[1] IS NOT NULL AND p[1] IS DISTINCT FROM p[2]), lambda p: p[1]), ' ')")
 
 
 def phrase_sql(phrases: list[str]) -> str:
