@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Mersenne prime 2^31 - 1: products of two residues stay inside a long
 PRIME = 2147483647
@@ -17,14 +17,26 @@ def row_seed(key: Column) -> Column:
     return hash32(key) % PRIME
 
 
-def replicate_draw(row: Column, replicate: Column, seed: int) -> Column:
-    """A residue mod PRIME per (row, replicate): one md5 per row, arithmetic per replicate.
+# The draw of a (row, replicate): a residue mod PRIME from one md5 per row and arithmetic per
+# replicate. Two multiply-add rounds with a shift between them; the factors depend on the
+# replicate only, so within a replicate the rows' draws are spread evenly. The rounds are two
+# columns, because the second uses the first twice.
 
-    Two multiply-add rounds with a shift between them; the multipliers depend on the replicate
-    only, so draws of different rows are spread evenly within every replicate.
-    """
-    a = (replicate * 48271 + (seed * 69621 + 16807)) % PRIME
-    b = (replicate * 39373 + (seed * 742938285 % PRIME + 1)) % PRIME
-    first = (row * (a + 1) + b) % PRIME
-    mixed = first.bitwiseXOR(F.shiftright(first, 15))
-    return ((mixed % PRIME) * 630360016 + a) % PRIME
+def _factor(replicate: Column, seed: int) -> Column:
+    return (replicate * 48271 + (seed * 69621 + 16807)) % PRIME
+
+
+def first_round(row: Column, replicate: Column, seed: int) -> Column:
+    shift = (replicate * 39373 + (seed * 742938285 % PRIME + 1)) % PRIME
+    return (row * (_factor(replicate, seed) + 1) + shift) % PRIME
+
+
+def second_round(first: Column, replicate: Column, seed: int) -> Column:
+    mixed = first.bitwiseXOR(F.shiftright(first, 15)) % PRIME
+    return (mixed * 630360016 + _factor(replicate, seed)) % PRIME
+
+
+def with_draw(df: DataFrame, row: str, replicate: str, seed: int, out: str) -> DataFrame:
+    rep = F.col(replicate).cast("long")
+    return (df.withColumn("_first", first_round(F.col(row), rep, seed))
+            .withColumn(out, second_round(F.col("_first"), rep, seed)).drop("_first"))

@@ -6,7 +6,7 @@ from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chartloom.functions.hashing import PRIME, replicate_draw, row_seed
+from chartloom.functions.hashing import PRIME, row_seed, with_draw
 from chartloom.operators import curves, metrics
 from chartloom.operators.ordered import positions, range_bounds
 
@@ -25,10 +25,7 @@ def poisson_cuts() -> list[int]:
 
 
 def poisson_weight(draw: Column) -> Column:
-    weight = F.lit(0)
-    for cut in poisson_cuts():
-        weight = weight + (draw >= cut).cast("int")
-    return weight
+    return sum(((draw >= cut).cast("int") for cut in poisson_cuts()), F.lit(0))
 
 
 def replicate(df: DataFrame, row_key: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
@@ -38,10 +35,12 @@ def replicate(df: DataFrame, row_key: str, replicates: int = REPLICATES, seed: i
     join, and all metrics share one set of draws. Rows a replicate does not draw are left out at
     once. Whoever aggregates by `rep` combines within the task first.
     """
-    seeded = df.withColumn("_row", row_seed(F.col(row_key)))
-    drawn = seeded.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = replicate_draw(F.col("_row"), F.col("rep").cast("long"), seed)
-    return drawn.withColumn("w", poisson_weight(draw)).where("w > 0").drop("_row")
+    # few rows become many: spread them over all cores before they are repeated
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    seeded = df.withColumn("_row", row_seed(F.col(row_key))).repartition(cores, "_row")
+    every = seeded.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = with_draw(every, "_row", "rep", seed, "_draw").where(F.col("_draw") >= poisson_cuts()[0])
+    return drawn.withColumn("w", poisson_weight(F.col("_draw"))).drop("_row", "_draw")
 
 
 def resample(df: DataFrame, order: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
@@ -54,9 +53,9 @@ def resample(df: DataFrame, order: str, replicates: int = REPLICATES, seed: int
         raise ValueError(f"{n} rows: use replicate() above {EXACT_LIMIT}")
     place = positions(df, order).drop("position_count")
     draws = df.sparkSession.range(replicates * n).select(
-        (F.col("id") / n).cast("int").alias("rep"), (F.col("id") % n).alias("_k"))
-    draw = replicate_draw(row_seed(F.col("_k")), F.col("rep").cast("long"), seed)
-    times = (draws.select("rep", (draw * n / PRIME).cast("long").alias("position"))
+        (F.col("id") / n).cast("int").alias("rep"), row_seed(F.col("id") % n).alias("_row"))
+    times = (with_draw(draws, "_row", "rep", seed, "_draw")
+             .select("rep", (F.col("_draw") * n / PRIME).cast("long").alias("position"))
              .groupBy("rep", "position").agg(F.count(F.lit(1)).alias("w")))
     return times.join(place, "position").drop("position")
 
