@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -33,20 +34,27 @@ def rewrite_all(col: Column, rules: Iterable[tuple[str, str]]) -> Column:
 
 @dataclass(frozen=True)
 class RuleFamily:
-    """Rules that share a gate: a cheap test every text that any of the rules can change passes."""
+    """Rules behind a gate: every text that any of the rules can change holds one of the words
+    in `needs` or matches `gate`."""
 
     name: str
-    gate: str
+    needs: tuple[str, ...]
+    gate: str | None
     rules: tuple[tuple[str, str], ...]
 
+    def concerns(self, text: Column) -> Column:
+        tests = [F.contains(text, F.lit(word)) for word in self.needs]
+        if self.gate:
+            tests.append(text.rlike(self.gate))
+        return reduce(lambda a, b: a | b, tests)
 
-def _gated(family: RuleFamily) -> Callable[[Column], Column]:
-    return lambda text: F.when(text.rlike(family.gate), rewrite_all(text, family.rules)).otherwise(text)
+    def apply(self, text: Column) -> Column:
+        return F.when(self.concerns(text), rewrite_all(text, self.rules)).otherwise(text)
 
 
 def apply_families(col: Column, families: Iterable[RuleFamily]) -> Column:
     """Run the families in order. A gate reads the current text: an earlier family may have
     written words that a later one looks for."""
     for family in families:
-        col = bind(col, _gated(family))
+        col = bind(col, family.apply)
     return col

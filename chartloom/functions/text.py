@@ -18,8 +18,9 @@ def strip_digits(c: Column) -> Column:
 
 
 def strip_special(c: Column) -> Column:
-    """Everything but letters, digits, blanks and line feeds becomes a blank."""
-    return F.regexp_replace(c, r"[^a-zA-Z0-9 \n]", " ")
+    """Everything but ASCII letters, digits, blanks and line feeds becomes a blank. (Written with
+    \\W: several times faster in the JVM than the same set as a negated list of ranges.)"""
+    return F.regexp_replace(c, r"[\W_&&[^ \n]]", " ")
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -51,10 +52,11 @@ def expand_laterality(c: Column) -> Column:
 
 
 def spell_scale_items(c: Column) -> Column:
-    """Coded scale items (`gaze 1 (0-2)`, `1a- 2`, `1 3 visual field`) to words. Every rule
-    needs a score digit, so most texts leave at the first test."""
+    """Coded scale items (`gaze 1 (0-2)`, `1a- 2`, `1 3 visual field`) to words. Most
+    texts hold none and leave at the first test; before any rule has fired the text is the
+    original, so that test is exact."""
     families = lexicon.scale_families()
-    return bind(c, lambda text: F.when(text.rlike("[0-4]"), apply_families(text, families)).otherwise(text))
+    return bind(c, lambda text: F.when(text.rlike(lexicon.ANY_SCALE_ITEM), apply_families(text, families)).otherwise(text))
 
 
 def remove_slash_l(c: Column) -> Column:

@@ -19,6 +19,7 @@ INVERSE_PENALTIES = [0.0001, 0.001, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.5, 1, 1
 BEST_ALPHA = 0.01
 FOLDS = 5
 SEARCH_ITERATIONS = 100
+SEARCH_TOLERANCE = 1e-4
 
 
 def lasso(alpha: float = BEST_ALPHA, features: str = "features", label: str = "mrs",
@@ -63,10 +64,10 @@ def with_penalised_intercept(df: DataFrame, features: str = "features", out: str
 
 
 def logistic(penalty: float, features: str = "features_1", label: str = "y", weight: str = "weight",
-             max_iter: int = 1000) -> LogisticRegression:
+             max_iter: int = 1000, tol: float = 1e-6) -> LogisticRegression:
     return LogisticRegression(featuresCol=features, labelCol=label, weightCol=weight, elasticNetParam=1.0,
                               regParam=float(penalty), fitIntercept=False, standardization=False,
-                              family="binomial", maxIter=max_iter, tol=1e-7,
+                              family="binomial", maxIter=max_iter, tol=tol,
                               probabilityCol="probability", predictionCol="y_default")
 
 
@@ -88,7 +89,8 @@ def search_penalty(prepared: DataFrame, order: str, label: str = "y",
     """(C, mean accuracy) over unshuffled stratified folds; the full grid."""
     ready = stratified_folds(prepared.select(order, "features_1", label, "weight"), order, label, folds)
     n = ready.count() * (folds - 1) / folds
-    model = logistic(1.0, label=label)
+    # accuracy settles long before the last digits of the weights do
+    model = logistic(1.0, label=label, max_iter=SEARCH_ITERATIONS, tol=SEARCH_TOLERANCE)
     grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in grid_values]).build()
     search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
                             evaluator=MulticlassClassificationEvaluator(
