@@ -6,23 +6,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Lines of one key are spread over this many partitions by the cohort join
-SALTS = 8
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, _pieces) of the keys that own more than one shuffle partition's fair share of rows,
+    with the number of partitions such a key fills. At most as many rows as there are shuffle
+    partitions; none on evenly spread data."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.select(F.count(F.lit(1))).scalar()
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * partitions > total)
+    return counted.select(key, F.ceil(F.col("_n") * partitions / total).cast("int").alias("_pieces"))
 
 
 def interval_join(left: DataFrame, lines: DataFrame, key: str, point: str, low: str, high: str,
-                  line_salt: list[str], salts: int = SALTS) -> DataFrame:
+                  line_salt: list[str]) -> DataFrame:
     """Equi-join on `key` where `low <= point <= high`, both ends included.
 
-    The band is a residual predicate of the hash join, never a cross product. One key may own a
-    large share of the lines, so the line side is split by a hash of `line_salt` and the short
-    side (one row per admission) is repeated once per salt.
+    The band is a residual predicate of the equi-join, never a cross product. One key may own a
+    large share of the lines: its lines are split by a hash of `line_salt`, and its rows on the
+    short side (one per admission) are repeated once per piece. Other keys stay as they are.
     """
-    spread = lines.withColumn("_salt", F.pmod(F.xxhash64(*line_salt), F.lit(salts)).cast("int"))
-    repeated = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = (repeated[key] == spread[key]) & (repeated["_salt"] == spread["_salt"]) \
-        & spread[point].between(repeated[low], repeated[high])
-    return repeated.join(spread, on).drop(spread[key]).drop("_salt")
+    hot = F.broadcast(hot_keys(lines, key))  # bounded by the number of shuffle partitions
+    pieces = F.coalesce("_pieces", F.lit(1))
+    spread = (lines.join(hot, key, "left")
+              .withColumn("_piece", F.pmod(F.xxhash64(*line_salt), pieces).cast("int")).drop("_pieces"))
+    repeated = (left.join(hot, key, "left")
+                .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces"))
+    return (repeated.join(spread, [key, "_piece"])
+            .where(F.col(point).between(F.col(low), F.col(high))).drop("_piece"))
 
 
 def adults(df: DataFrame, age: str = "Age", at_least: int = 18) -> DataFrame:

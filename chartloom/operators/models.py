@@ -19,15 +19,16 @@ INVERSE_PENALTIES = [0.0001, 0.001, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.5, 1, 1
 BEST_ALPHA = 0.01
 FOLDS = 5
 SEARCH_ITERATIONS = 100
+# scores settle long before the last digits of the weights do
 SEARCH_TOLERANCE = 1e-4
 
 
 def lasso(alpha: float = BEST_ALPHA, features: str = "features", label: str = "mrs",
-          max_iter: int = 1000) -> LinearRegression:
+          max_iter: int = 1000, tol: float = 1e-6) -> LinearRegression:
     """1/(2n) |y - Xw - b|^2 + alpha |w|_1 with a free intercept, on unscaled features."""
     return LinearRegression(featuresCol=features, labelCol=label, predictionCol="y_pred",
                             elasticNetParam=1.0, regParam=float(alpha), standardization=False,
-                            solver="l-bfgs", tol=1e-8, maxIter=max_iter)
+                            solver="l-bfgs", tol=tol, maxIter=max_iter)
 
 
 def _first_best(values: list[float]) -> int:
@@ -37,7 +38,7 @@ def _first_best(values: list[float]) -> int:
 def search_alpha(train: DataFrame, order: str, features: str = "features", label: str = "mrs",
                  alphas: list[float] = ALPHAS, folds: int = FOLDS, parallelism: int = 4) -> list[tuple[float, float]]:
     """(alpha, mean R2) over unshuffled folds. The best is the first with the highest mean."""
-    model = lasso(features=features, label=label, max_iter=SEARCH_ITERATIONS)
+    model = lasso(features=features, label=label, max_iter=SEARCH_ITERATIONS, tol=SEARCH_TOLERANCE)
     grid = ParamGridBuilder().addGrid(model.regParam, [float(a) for a in alphas]).build()
     ready = contiguous_folds(train.select(order, features, label), order, folds)
     search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
@@ -89,7 +90,6 @@ def search_penalty(prepared: DataFrame, order: str, label: str = "y",
     """(C, mean accuracy) over unshuffled stratified folds; the full grid."""
     ready = stratified_folds(prepared.select(order, "features_1", label, "weight"), order, label, folds)
     n = ready.count() * (folds - 1) / folds
-    # accuracy settles long before the last digits of the weights do
     model = logistic(1.0, label=label, max_iter=SEARCH_ITERATIONS, tol=SEARCH_TOLERANCE)
     grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in grid_values]).build()
     search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",

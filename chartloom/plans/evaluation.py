@@ -343,7 +343,7 @@ top AS (SELECT term, coef FROM coefs WHERE coef <> 0 ORDER BY abs(coef) DESC, te
 
 def coefficients(t: Tables):
     """Made-up weights for all words, from how often they occur."""
-    counted = document_frequency(t.documents.select(plain().alias("Notes")), word_tokens(F.col("Notes")))
+    counted = document_frequency(t.texts.select(plain().alias("Notes")), word_tokens(F.col("Notes")))
     return counted.select("term", (((F.col("df") * 37 + F.length("term") * 13) % 101 - 50) / 50).alias("coef"))
 
 

@@ -20,7 +20,7 @@ WITH n AS (SELECT doc_id, {phrase_sql(REPORTS)} || ' ' || {PLAIN_SQL} AS s FROM
 SELECT doc_id, CAST({' OR '.join(f"contains(lower(s), {quoted(p)})" for p in lexicon.DEATH_PHRASES)} AS INTEGER) AS mrs6 FROM n""")
 def phrase_flag(t: Tables):
     s = F.concat(phrase(REPORTS), F.lit(" "), plain())
-    return t.documents.select("doc_id", extract.death_phrase(s).alias("mrs6"))
+    return t.texts.select("doc_id", extract.death_phrase(s).alias("mrs6"))
 
 
 def marked_sql(s: str) -> str:
@@ -33,7 +33,7 @@ WITH n AS (SELECT doc_id, {phrase_sql(REPORTS)} || ' ' || {PLAIN_SQL} AS s FROM
 SELECT doc_id, marked, CAST(contains(marked, 'mrs 6') AS INTEGER) AS flag FROM m""")
 def rewrite_flag(t: Tables):
     s = F.concat(phrase(REPORTS), F.lit(" "), plain())
-    marked = t.documents.select("doc_id", extract.mark_deaths(s).alias("marked"))
+    marked = t.texts.select("doc_id", extract.mark_deaths(s).alias("marked"))
     return marked.withColumn("flag", F.contains("marked", F.lit(lexicon.DEATH_MARK)).cast("int"))
 
 
@@ -56,7 +56,7 @@ SELECT doc_id, {tick_sql('s')} AS tick, {tick_sql('s', 'death')} AS mrs FROM n""
 def checkbox_score(t: Tables):
     s = F.concat(phrase(TICKS), F.lit(" "), plain())
     death = (F.col("n_chars") % 9 == 0).cast("int")
-    return t.documents.select("doc_id", extract.checkbox_score(s).alias("tick"),
+    return t.texts.select("doc_id", extract.checkbox_score(s).alias("tick"),
                               extract.checkbox_score(s, death).alias("mrs"))
 
 
@@ -72,7 +72,7 @@ WITH n AS (SELECT doc_id, {phrase_sql(SPOKEN_SCORES)} || ' ' || {PLAIN_SQL} AS s
 SELECT doc_id, array_to_string(regexp_extract_all(s, {quoted(MENTION_SQL)}, 1), ' -#- ') AS rankin FROM n""")
 def kwic_extract(t: Tables):
     s = F.concat(phrase(SPOKEN_SCORES), F.lit(" "), plain())
-    return t.documents.select("doc_id", F.array_join(extract.mentions(s), extract.MENTION_SEPARATOR).alias("rankin"))
+    return t.texts.select("doc_id", F.array_join(extract.mentions(s), extract.MENTION_SEPARATOR).alias("rankin"))
 
 
 def mention_sql(found: str) -> str:
@@ -87,7 +87,7 @@ WITH n AS (SELECT doc_id, {phrase_sql(SPOKEN_SCORES)} || ' ' || {PLAIN_SQL} AS s
 SELECT doc_id, {mention_sql('found')} AS mrs FROM m""")
 def mention_score(t: Tables):
     s = F.concat(phrase(SPOKEN_SCORES), F.lit(" "), plain())
-    return t.documents.select("doc_id", extract.mention_score(extract.mentions(s)).alias("mrs"))
+    return t.texts.select("doc_id", extract.mention_score(extract.mentions(s)).alias("mrs"))
 
 
 # ---- follow-up notes made of conversation turns -------------------------------------------------

@@ -19,7 +19,7 @@ v AS (SELECT term, n, count(*) AS df FROM g GROUP BY 1, 2 HAVING count(*) * 10 >
 
 
 def docs(t: Tables):
-    return t.documents.select("doc_id", plain().alias("Notes"))
+    return t.texts.select("doc_id", plain().alias("Notes"))
 
 
 @query(f"""

@@ -13,7 +13,7 @@ from chartloom.plans.texts import plain
 
 def training(t: Tables) -> tuple[DataFrame, list[str]]:
     """Labelled documents with n-gram and numeric features; the score is a mix of label and length."""
-    docs = t.documents.join(t.labels, "doc_id").select(
+    docs = t.texts.join(t.labels, "doc_id").select(
         "doc_id", plain().alias("Notes"), F.col("quality").alias("y"),
         (F.col("quality") * 3.0 + F.col("toxic") * 2 + F.least(F.col("n_chars") / 4000, F.lit(1.0))).alias("mrs"),
         F.least(F.col("n_chars") / 20000, F.lit(1.0)).alias("Age_scaled"), (F.col("doc_id") % 2).alias("SexDSC"),

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chartloom.sources.tables import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,3 +35,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @property
+    def texts(self) -> DataFrame:
+        """`documents`, for work on every text."""
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/documents.parquet"))

@@ -54,23 +54,23 @@ def phrase(phrases: list[str]):
 
 @query(r"SELECT doc_id, regexp_replace(text, '\p{Nd}', '', 'g') AS text FROM documents")
 def strip_digits(t: Tables):
-    return t.documents.select("doc_id", text.strip_digits(F.col("text")).alias("text"))
+    return t.texts.select("doc_id", text.strip_digits(F.col("text")).alias("text"))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9 \n]', ' ', 'g') AS text FROM documents")
 def strip_special(t: Tables):
-    return t.documents.select("doc_id", text.strip_special(F.col("text")).alias("text"))
+    return t.texts.select("doc_id", text.strip_special(F.col("text")).alias("text"))
 
 
 @query(r"""
 SELECT doc_id, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS text FROM documents""")
 def collapse_ws(t: Tables):
-    return t.documents.select("doc_id", text.collapse_whitespace(F.col("text")).alias("text"))
+    return t.texts.select("doc_id", text.collapse_whitespace(F.col("text")).alias("text"))
 
 
 @query(f"WITH p AS (SELECT doc_id, {PLAIN_SQL} AS p FROM documents) SELECT doc_id, {dedupe_sql('p')} AS text FROM p")
 def dedupe_words(t: Tables):
-    return t.documents.select("doc_id", text.dedupe_words(plain()).alias("text"))
+    return t.texts.select("doc_id", text.dedupe_words(plain()).alias("text"))
 
 
 NEGATED = ["Discharged w/out fever w/ cane", "He doesn't walk, neither sits nor stands", "slow output r/o stroke h/o falls",
@@ -82,7 +82,7 @@ WITH n AS (SELECT doc_id, ' ' || {phrase_sql(NEGATED)} || ' ' || {PLAIN_SQL} ||
 SELECT doc_id, {replace_sql(replace_sql('lower(s)', lexicon.NEGATION), lexicon.LATERALITY)} AS text FROM n""")
 def negation_norm(t: Tables):
     s = F.concat(F.lit(" "), phrase(NEGATED), F.lit(" "), plain(), F.lit(" "))
-    return t.documents.select("doc_id", text.expand_laterality(text.normalise_negation(s)).alias("text"))
+    return t.texts.select("doc_id", text.expand_laterality(text.normalise_negation(s)).alias("text"))
 
 
 CODED = ["gaze 1 (0-2) noted", "1a- 2", "1 3 visual field", "10 1b", "2 sensory", "alert 0 (0-3)", "2 1 c",
@@ -96,7 +96,7 @@ WITH n AS (SELECT doc_id, {phrase_sql(CODED)} || ' ' || {PLAIN_SQL} AS s FROM do
 SELECT doc_id, {regex_sql('s', lexicon.scale_rules())} AS text FROM n""")
 def scale_items(t: Tables):
     s = F.concat(phrase(CODED), F.lit(" "), plain())
-    return t.documents.select("doc_id", text.spell_scale_items(s).alias("text"))
+    return t.texts.select("doc_id", text.spell_scale_items(s).alias("text"))
 
 
 SHORT = ["pt with hx hx htn and abd pain", "start iv meds max min neg", "lle rle lue weakness lkw ams",
@@ -108,7 +108,7 @@ WITH n AS (SELECT doc_id, {phrase_sql(SHORT)} || ' ' || {PLAIN_SQL} AS s FROM do
 SELECT doc_id, {replace_sql('s', lexicon.ABBREVIATIONS)} AS text FROM n""")
 def abbrev_expand(t: Tables):
     s = F.concat(phrase(SHORT), F.lit(" "), plain())
-    return t.documents.select("doc_id", text.expand_abbreviations(s).alias("text"))
+    return t.texts.select("doc_id", text.expand_abbreviations(s).alias("text"))
 
 
 LONG = ["systolic blood pressure and heart rate stable", "cranial nerves intact cranial nerve two",
@@ -123,7 +123,7 @@ SELECT doc_id, {replace_sql(replace_sql('s', lexicon.PHRASES + lexicon.LIMB_CODE
 FROM n""")
 def phrase_contract(t: Tables):
     s = F.concat(phrase(LONG), F.lit(" "), plain())
-    return t.documents.select("doc_id", text.remove_leaks(text.contract_phrases(s)).alias("text"))
+    return t.texts.select("doc_id", text.remove_leaks(text.contract_phrases(s)).alias("text"))
 
 
 TREEBANK = [(r"\bcannot\b", "can not"), (r"\bgimme\b", "gim me"), (r"\blemme\b", "lem me"), (r"\bgonna\b", "gon na"),
@@ -136,18 +136,18 @@ WITH n AS (SELECT doc_id, {phrase_sql(SPOKEN)} || ' ' || {PLAIN_SQL} AS s FROM d
 SELECT doc_id, array_to_string(list_filter(string_split({regex_sql('s', TREEBANK)}, ' '), lambda w: w <> ''), '|') AS tokens FROM n""")
 def tokenize(t: Tables):
     s = F.concat(phrase(SPOKEN), F.lit(" "), plain())
-    return t.documents.select("doc_id", F.array_join(text.tokenize(s), "|").alias("tokens"))
+    return t.texts.select("doc_id", F.array_join(text.tokenize(s), "|").alias("tokens"))
 
 
 @query()
 def stem_tokens(t: Tables):
-    return t.documents.select("doc_id", stem.stem_text(plain()).alias("text"))
+    return t.texts.select("doc_id", stem.stem_text(plain()).alias("text"))
 
 
 @query(rf"""
 SELECT doc_id, CAST(len(regexp_extract_all({PLAIN_SQL}, '\w+')) AS INTEGER) AS tokens FROM documents""")
 def token_count(t: Tables):
-    return t.documents.select("doc_id", text.token_count(plain()).alias("tokens"))
+    return t.texts.select("doc_id", text.token_count(plain()).alias("tokens"))
 
 
 @query(f"""
@@ -157,7 +157,7 @@ SELECT doc_id, array_to_string(list_transform(range(1, len(w)), lambda i: w[i] |
 FROM w""")
 def ngrams(t: Tables):
     tokens = text.word_tokens(plain())
-    return t.documents.select("doc_id", F.array_join(text.ngrams(tokens, 2), "|").alias("bigrams"),
+    return t.texts.select("doc_id", F.array_join(text.ngrams(tokens, 2), "|").alias("bigrams"),
                               F.array_join(text.ngrams(tokens, 3), "|").alias("trigrams"))
 
 
@@ -197,10 +197,10 @@ SITE_WORDS = lexicon.calendar_words() + lexicon.letters() + [
 WITH n AS (SELECT doc_id, string_split({regex_sql(PLAIN_SQL, TREEBANK)}, ' ') AS w FROM documents)
 SELECT doc_id, array_to_string(list_filter(w, lambda x: x <> '' AND NOT list_contains({sql_list(SITE_WORDS)}, x)), ' ') AS text FROM n""")
 def stopword_filter(t: Tables):
-    return t.documents.select("doc_id", text.remove_stop_words(plain(), SITE_WORDS).alias("text"))
+    return t.texts.select("doc_id", text.remove_stop_words(plain(), SITE_WORDS).alias("text"))
 
 
 @query(normalise_sql(SITE_WORDS))
 def normalise_text(t: Tables):
     s = F.concat(phrase(NOTES), F.lit(" "), F.regexp_replace("text", "[^ -~]", " "))
-    return t.documents.select("doc_id", text.normalise_note(s, SITE_WORDS).alias("text"))
+    return t.texts.select("doc_id", text.normalise_note(s, SITE_WORDS).alias("text"))
