@@ -19,7 +19,7 @@ def training(t: Tables) -> tuple[DataFrame, list[str]]:
         F.least(F.col("n_chars") / 20000, F.lit(1.0)).alias("Age_scaled"), (F.col("doc_id") % 2).alias("SexDSC"),
         F.col("toxic").alias("Expired"), F.lit(0).alias("follow_up"))
     vocabulary = features.fit_ngram_vocabulary(docs, "Notes")
-    return features.vectorise(docs, "Notes", vocabulary, NUMERIC).persist(), vocabulary
+    return models.pack(features.vectorise(docs, "Notes", vocabulary, NUMERIC)), vocabulary
 
 
 def _pairs(t: Tables, rows, schema: str) -> DataFrame:

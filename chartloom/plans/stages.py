@@ -84,7 +84,7 @@ def vector_table(docs: DataFrame, train: DataFrame, vocabulary: list[str], reran
 def linear_predictions(train: DataFrame, test: DataFrame, extractions: DataFrame | None, keys: list[str],
                        alpha: float = models.BEST_ALPHA):
     """Stages 4 and 7: lasso, clipped, with the expired rule and extracted scores on top."""
-    model = models.lasso(alpha).fit(train)
+    model = models.lasso(alpha).fit(models.pack(train))
     scored = model.transform(test).withColumn("y_model", labels.clip(F.col("y_pred")))
     extracted = None
     if extractions is not None:
@@ -101,7 +101,7 @@ def binary_predictions(train: DataFrame, test: DataFrame, extractions: DataFrame
     Extracted scores harden labels and probabilities. At the other site (`harden_expired`)
     deaths do that instead; here they only set the label.
     """
-    prepared = models.prepare_classes(train.withColumn("y", labels.dichotomise(F.col("mrs"))))
+    prepared = models.pack(models.prepare_classes(train.withColumn("y", labels.dichotomise(F.col("mrs")))))
     model = models.fit_logistic(prepared, inverse_penalty)
     fitted = models.probabilities(model.transform(prepared))
     threshold = curves.f1_threshold(fitted.select("y", "one"), [], "y", "one").first()["threshold"]
