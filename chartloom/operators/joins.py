@@ -11,9 +11,10 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     with the number of partitions such a key fills. At most as many rows as there are shuffle
     partitions; none on evenly spread data."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = df.select(F.count(F.lit(1))).scalar()
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * partitions > total)
-    return counted.select(key, F.ceil(F.col("_n") * partitions / total).cast("int").alias("_pieces"))
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.select(F.sum("_n")).scalar()
+    return (counted.where(F.col("_n") * partitions > total)
+            .select(key, F.ceil(F.col("_n") * partitions / total).cast("int").alias("_pieces")))
 
 
 def interval_join(left: DataFrame, lines: DataFrame, key: str, point: str, low: str, high: str,

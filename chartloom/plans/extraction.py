@@ -8,6 +8,7 @@ from chartloom.functions import lexicon, text
 from chartloom.operators import extract, grouping, joins, notes
 from chartloom.plans.registry import Tables, query
 from chartloom.plans.relational import day, stays
+from chartloom.sources.checkpoints import materialise
 from chartloom.plans.texts import PLAIN_SQL, dedupe_sql, phrase, phrase_sql, plain, quoted, regex_sql, replace_sql, sql_list
 
 REPORTS = ["Patient is deceased", "time of death 3 pm", "pronounced him dead", "he  is\texpired", "patient passed away",
@@ -178,7 +179,7 @@ SELECT PatientID, strftime(Date_mrs_post_discharge, '%Y-%m-%d') AS follow_up_dat
   SELECT * FROM said UNION ALL SELECT DISTINCT PatientID, Date_mrs_post_discharge, score FROM found_ticks)
 WHERE score IS NOT NULL""")
 def extract_scores(t: Tables):
-    lines = visit_lines(t)
+    lines = materialise(visit_lines(t))
     clean = lines.select("NoteID", F.lit(1).alias("follow_up")).distinct()
     out = extract.extract_scores(lines, clean)
     return out.select("PatientID", day("Date_mrs_post_discharge").alias("follow_up_date"), "mrs_extractions")
@@ -225,7 +226,8 @@ p AS (SELECT o_custkey, o_orderkey, max(CASE WHEN kind = 'OT' THEN days END) AS
 SELECT t.o_custkey, t.o_orderkey, t.NoteID, t.Notes, CAST(min(t.r) AS BIGINT) AS type_rank, "OT_days", "PT_days", "DS_days", "DD_days"
 FROM texts t JOIN p ON t.o_custkey = p.o_custkey AND t.o_orderkey = p.o_orderkey GROUP BY ALL""")
 def typed_notes(t: Tables):
-    out = notes.typed_notes(stay_lines(t), follow_up=False, keys=STAY_KEYS, note_type="tag", contact="contact",
+    # read twice, for the types and for the texts
+    out = notes.typed_notes(materialise(stay_lines(t)), follow_up=False, keys=STAY_KEYS, note_type="tag", contact="contact",
                             admit="admit", discharge="discharge", outcome_date="discharge")
     return out.drop("admit", "discharge")
 
