@@ -89,7 +89,7 @@ def bootstrap_spearman(df: DataFrame, row_key: str, truth: str, prediction: str,
     # cut points of the table serve all its replicates
     bounds = (range_bounds(df, truth), range_bounds(df, prediction))
     drawn = replicate(df.select(*keys, row_key, truth, prediction), row_key, replicates, seed)
-    stats = metrics.spearman(drawn, [*keys, "rep"], truth, prediction, "w", bounds).where(F.col("spearman").isNotNull())
+    stats = metrics.spearman(drawn, [*keys, "rep"], truth, prediction, "w", bounds).where(~F.isnan("spearman"))
     return interval(stats, list(keys), "spearman")
 
 

@@ -14,7 +14,7 @@ def rmse_of(truth: Column, prediction: Column, weight: Column | None = None) ->
 
 def spearman(df: DataFrame, keys: list[str], truth: str, prediction: str, weight: str | None = None,
              bounds: tuple[list[float], list[float]] | None = None) -> DataFrame:
-    """Rank correlation with averaged ties per key; null where one side is constant.
+    """Rank correlation with averaged ties per key; NaN where one side is constant.
 
     Equal pairs are counted first. Ranks are centred on their known mean, so that sums of
     squares stay small for any number of rows.
@@ -29,7 +29,7 @@ def spearman(df: DataFrame, keys: list[str], truth: str, prediction: str, weight
     ranked = ranked.join(totals, keys) if keys else ranked.withColumn("mid", totals.scalar())
     t, p = F.col("rank_t") - F.col("mid"), F.col("rank_p") - F.col("mid")
     spread = F.sqrt(F.sum(F.col("w") * t * t)) * F.sqrt(F.sum(F.col("w") * p * p))
-    return ranked.groupBy(*keys).agg(F.when(spread > 0, F.sum(F.col("w") * t * p) / spread).alias("spearman"))
+    return ranked.groupBy(*keys).agg(F.when(spread > 0, F.sum(F.col("w") * t * p) / spread).otherwise(F.lit(float("nan"))).alias("spearman"))
 
 
 def count_cells(df: DataFrame, keys: list[str], truth: str, predicted: str, weight: str | None = None,

@@ -315,11 +315,11 @@ def min_tokens_group(t: Tables):
 
 
 @query("""
-SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 4) AS lo,
-       round(quantile_cont(l_extendedprice, 0.975), 4) AS hi FROM lineitem GROUP BY 1""")
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS lo,
+       round(quantile_cont(l_extendedprice, 0.975), 6) AS hi FROM lineitem GROUP BY 1""")
 def percentile_ci(t: Tables):
     out = ordered.quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"lo": 0.025, "hi": 0.975})
-    return out.select("l_returnflag", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return out.select("l_returnflag", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 @query("""
