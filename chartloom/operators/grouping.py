@@ -13,7 +13,8 @@ def concat_ordered(df: DataFrame, keys: list[str], order: list[str], text: str,
 
     Order lives inside the aggregate (a sorted list of structs), so the result does not depend
     on how rows arrive. The text itself breaks ties. A null piece counts as empty. Rows with a
-    null key are dropped.
+    null key are dropped. What a task gathers for a group is the one text value it returns: group
+    by note or document, never by something wider.
     """
     piece = F.struct(*[F.col(o) for o in order], F.coalesce(F.col(text), F.lit("")).alias("_piece"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["_piece"]), " ")

@@ -121,17 +121,14 @@ def binary_predictions(train: DataFrame, test: DataFrame, extractions: DataFrame
 
 def linear_report(scored: DataFrame, row_key: str, replicates: int = bootstrap.REPLICATES) -> DataFrame:
     """One row: RMSE and rank correlation, each with its interval."""
-    points = scored.agg(metrics.rmse_of(F.col("mrs"), F.col("y_pred")).alias("rmse"))
     rmse_ci = bootstrap.bootstrap_rmse(scored, row_key, "mrs", "y_pred", replicates=replicates)
-    rho = metrics.spearman(scored, [], "mrs", "y_pred")
     rho_ci = bootstrap.bootstrap_spearman(scored, row_key, "mrs", "y_pred", replicates=replicates)
-    # four one-row tables side by side
-    one = [points, rmse_ci.select(F.col("lo").alias("rmse_lo"), F.col("hi").alias("rmse_hi")), rho,
-           rho_ci.select(F.col("lo").alias("spearman_lo"), F.col("hi").alias("spearman_hi"))]
-    out = one[0].withColumn("_k", F.lit(0))
-    for table in one[1:]:
-        out = out.join(table.withColumn("_k", F.lit(0)), "_k")
-    return out.drop("_k")
+    points = scored.agg(metrics.rmse_of(F.col("mrs"), F.col("y_pred")).alias("rmse")).withColumns({
+        "_rmse": rmse_ci.select(F.struct("lo", "hi")).scalar(),
+        "spearman": metrics.spearman(scored, [], "mrs", "y_pred").scalar(),
+        "_rho": rho_ci.select(F.struct("lo", "hi")).scalar()})
+    return points.select("rmse", F.col("_rmse.lo").alias("rmse_lo"), F.col("_rmse.hi").alias("rmse_hi"),
+                         "spearman", F.col("_rho.lo").alias("spearman_lo"), F.col("_rho.hi").alias("spearman_hi"))
 
 
 def importance_report(model, vocabulary: list[str], spark) -> DataFrame:
