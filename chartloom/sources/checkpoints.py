@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only for an unset local session."""
-    known = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The session's spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder
+    that goes with the process; a cluster session uses the warehouse, which its executors share."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="chartloom-")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
+    if "path" not in _own:
+        _own["path"] = tempfile.mkdtemp(prefix="chartloom-")
+        atexit.register(shutil.rmtree, _own["path"], ignore_errors=True)
+    return "file://" + _own["path"]
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for a table that several later branches read."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write the table to the shared folder as parquet and read it again: later branches prune columns."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
