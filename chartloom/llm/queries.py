@@ -33,7 +33,7 @@ gone AS (SELECT DISTINCT row, unnest(range(p, p + 35)) AS q FROM h SEMI JOIN aga
 lost AS (SELECT row, list(q) AS qs, count(*) AS n FROM gone GROUP BY row)
 SELECT r.doc_id, len(r.w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN l.n IS NULL THEN r.w ELSE
-           list_transform(list_filter(list_zip(r.w, range(1, len(r.w) + 1)), x -> NOT list_contains(l.qs, x[2])), x -> x[1])
+           list_transform(list_filter(list_zip(r.w, range(1, len(r.w) + 1)), lambda x: NOT list_contains(l.qs, x[2])), lambda x: x[1])
            END, ' ')) AS kept_sha256
 FROM r LEFT JOIN lost l USING (row)
 """)
