@@ -41,3 +41,50 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.anchors import remove_repeats
     stripped = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return stripped.select("rest.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda p: array_to_string(list_slice(w, p, p + 4), ' ')) END) AS g FROM t),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id
+      GROUP BY ALL),
+e AS (SELECT a, b FROM c WHERE 100 * k >= 75 * (na + nb - k)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS z FROM s UNION SELECT u.b, r.z FROM r JOIN u ON u.a = r.a WHERE r.z < u.b),
+m AS (SELECT a AS doc_id, min(z) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+""")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.hyperminhash import near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256)
+""")
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.cuckoo import exact_duplicates
+    return exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("content")
+
+
+@query()
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from chartloom.llm.bpe import encode_texts
+    coded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("rest.doc_id", F.expr("length(ids) DIV 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from chartloom.llm.vectorpack import pack_documents
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
