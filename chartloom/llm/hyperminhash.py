@@ -211,7 +211,7 @@ def linked_nodes(df: DataFrame, text: str, nodes: DataFrame, percent: int) -> Da
                 .join(found.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
                 .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
         roots = components(ends)
-        moved = found.join(roots.withColumnsRenamed({"node": "root", "root": "top"}), "root", "left").select(
+        moved = found.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
             "node", F.coalesce("top", "root").alias("root"))
         found = stage(moved.unionByName(roots.join(found, "node", "left_anti")), "roots")
         tested = tested.unionByName(pairs)
