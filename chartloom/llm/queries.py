@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,16 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.vectorpack import pack_documents
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def fold(column: str, parts: int) -> Column:
+    """crc32 of the id as text, mod `parts`; null for a null id."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+@query()
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.katz import score_texts
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
+    scored = score_texts(docs, ~F.col("held_out"))
+    return scored.select("rest.doc_id", "rest.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
