@@ -204,6 +204,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     index = CuckooIndex.empty(df.sparkSession, df.schema[id_col].dataType.simpleString(), rows.count())
     for turn in range(arrivals):
         index = index.insert(rows.where(F.pmod(F.xxhash64("id"), F.lit(arrivals)) == turn))
-    out = rows.join(index.groups(), "digest")
+    # written first: a join of two plain tables can split a digest that very many rows share
+    out = rows.join(stage(index.groups(), "groups"), "digest")
     return out.select(F.col("id").alias("doc_id"), "content", "keep_id", "group_size",
                       F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))

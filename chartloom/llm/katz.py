@@ -8,8 +8,8 @@ over the unigram mass of the types not seen after it, so every history's probabi
 
 Rows are kept in chunks. For each level a chunk sends its distinct n-grams, once each with their local
 counts, to shards of the hash range; a shard adds up the counts of all chunks, keeps its part of the
-model as a table and answers with the totals. An n-gram that only this chunk can hold (one of its words
-occurs nowhere else) is counted on the spot. Backoff sums travel the same way, keyed by history: each
+model as a table and answers with the totals. An n-gram one of whose words occurs in no other chunk is
+counted on the spot. Backoff sums travel the same way, keyed by history: each
 seen bigram is added by the one chunk that owns it. A word that makes up a third of the corpus is one
 number per chunk.
 
@@ -64,7 +64,7 @@ class Tokens:
         self.types, self.at = np.unique(tokens, return_inverse=True)
         self.local = np.bincount(self.at, weights=self.train, minlength=len(self.types)).astype(np.int64)
 
-    def bigrams(self, totals: np.ndarray, begins: int):
+    def bigrams(self, totals: np.ndarray, elsewhere: np.ndarray, begins: int):
         """Distinct (history, word) pairs; history -1 is the beginning of a row."""
         history = np.concatenate([[-1], self.at[:-1]]).astype(np.int64) if len(self.at) else np.zeros(0, np.int64)
         starts = np.cumsum(self.lengths) - self.lengths
@@ -75,8 +75,8 @@ class Tokens:
         self.pair_local = np.bincount(self.pair_at, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
         self.history = self.pairs // max(1, len(self.types)) - 1
         self.word = self.pairs % max(1, len(self.types))
-        # types (and the beginning, last) that training rows outside this chunk may hold
-        self.shared = np.concatenate([totals > self.local, [True]])
+        # types (and the beginning, last) that rows outside this chunk hold, too
+        self.shared = np.concatenate([elsewhere, [True]])
         self.history_total = np.concatenate([totals, [begins]])[self.history]
         self.history_key = np.concatenate([self.types, [BEGIN]])
         self.open = self.shared[self.history] & self.shared[self.word]
@@ -116,8 +116,8 @@ def _histogram(counts: np.ndarray) -> list[int]:
 
 
 def add_counts(messages: DataFrame, shards: int, level: int) -> DataFrame:
-    """Totals of every key. Answers: one row per chunk, with the total of each key it sent and whether
-    it is the first chunk that counted it. Chunk -1 is the shard's part of the model: keys and counts,
+    """Totals of every key. Answers: one row per chunk, with 4 * the total of each key it sent, + 2 if
+    another chunk sent it, + 1 if this is the first chunk that counted it. Chunk -1 is the shard's part of the model: keys and counts,
     and as stats the number of tokens, of types and of types by low count."""
     def add(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -133,10 +133,11 @@ def add_counts(messages: DataFrame, shards: int, level: int) -> DataFrame:
         owner[at[counted[::-1]]] = counted[::-1]                  # the first one wins
         first = np.zeros(len(flat), np.int64)
         first[owner[owner < len(flat)]] = 1
+        marked = totals * 4 + 2 * (np.bincount(at, minlength=len(distinct)) > 1)
         out, base = [], 0
         for chunk, own in zip(chunks, keys):
             span = slice(base, base + len(own))
-            out.append((chunk, level * shards + shard, (totals[at[span]] * 2 + first[span]).tobytes(), None))
+            out.append((chunk, level * shards + shard, (marked[at[span]] + first[span]).tobytes(), None))
             base += len(own)
         seen = totals > 0
         low = np.array(_histogram(totals))
@@ -220,16 +221,17 @@ class Scored:
 
     def __init__(self, rows, found, shards, train, uni: Unigrams, begins: int):
         self.stream = stream = Tokens(rows, train)
-        self.counts = _answered(found, stream.types, shards, 0, 1, np.int64)[:, 0] >> 1
+        answer = _answered(found, stream.types, shards, 0, 1, np.int64)[:, 0]
+        self.counts = answer >> 2
         self.uni, self.shards, self.found = uni, shards, found
-        stream.bigrams(self.counts, begins)
+        stream.bigrams(self.counts, (answer & 2).astype(bool), begins)
 
     def pair_counts(self) -> None:
         stream = self.stream
         answer = _answered(self.found, stream.keys, self.shards, 1, 1, np.int64)[:, 0]
         self.pairs = stream.pair_local.copy()
         self.owned = ~stream.open & (stream.pair_local > 0)
-        self.pairs[stream.sent] = answer >> 1
+        self.pairs[stream.sent] = answer >> 2
         self.owned[stream.sent] = (answer & 1).astype(bool)
 
     def own_sums(self, factors: np.ndarray) -> np.ndarray:
@@ -240,10 +242,10 @@ class Scored:
         share = _discounted(self.pairs[seen], factors) / stream.history_total[seen]
         n = len(stream.types) + 1
         return np.stack([np.bincount(history % n, weights=w, minlength=n)
-                         for w in (share, self.uni.of(self.counts[stream.word[seen]]))], axis=1)
+                         for w in (share, self.uni.of(self.counts[stream.word[seen]]))], axis=1).astype(np.float64)
 
     def wide_histories(self) -> np.ndarray:
-        """Histories with training occurrences elsewhere too, by key; the beginning is the last index."""
+        """Known histories that other chunks hold too, by key; the beginning is the last index."""
         stream = self.stream
         known = np.concatenate([self.counts > 0, [True]]) & stream.shared
         at = np.flatnonzero(known)
