@@ -101,3 +101,21 @@ def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
     scored = score_texts(docs, ~F.col("held_out"))
     return scored.select("rest.doc_id", "rest.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.compresslid import classify, learn_dictionaries
+    docs = table(spark, sf_dir, "documents")
+    samples = learn_dictionaries(docs, fold("doc_id", 4) != 2, "lang")
+    found = classify(docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out")), samples)
+    return found.select("rest.doc_id", "rest.held_out", "lang_pred", "score", "rejected")
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.toxicity import learn, score_texts
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    scored = score_texts(docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out")), model)
+    return scored.select("rest.doc_id", "rest.held_out", "score", "predicted")
