@@ -37,7 +37,7 @@ from chartloom.llm.store import stage
 
 SAMPLE_ROWS = 6_000
 TERMS = 5_000
-LIFT = 6.0
+LIFT = 8.0
 LEAST_ROWS = 4
 HEADS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -84,6 +84,7 @@ TARGETED = _window(TARGET, 1.5)
 NEGATED = _window(NEGATION, 0.1)
 REPORTED = Transducer(2, {(0, REPORT): 1}, {0: 0, 1: 1}, [1.0, 0.5])
 GRAMMAR = TARGETED.compose(NEGATED).compose(REPORTED)
+UNTARGETED = NEGATED.states * REPORTED.states        # states below this have no target in reach
 
 
 class Lexicon(dict):
@@ -107,21 +108,19 @@ class Lexicon(dict):
 
 
 def clause_score(classes: list[tuple[int, float]], quoted: bool) -> float:
-    """Weight of one clause's hits, each times the factor of the grammar's state; targets count both ways."""
-    best = [0.0, 0.0]
-    for turn, sequence in enumerate((classes, classes[::-1])):
-        machine, state = (GRAMMAR, 0) if turn == 0 else (TARGETED, 0)
-        factors = []
-        for kind, weight in sequence:
-            if weight:
-                factors.append((weight, machine.factor[state]))
-            state = machine.next[state][kind]
-        best[turn] = factors
-    back = [f for _, f in best[1]][::-1]
-    # the backward run only knows targets: use it where the forward run has met none
-    total = 0.0
-    for (weight, forward), behind in zip(best[0], back):
-        total += weight * forward * (behind if forward in (1.0, 0.1, 0.5, 0.05) else 1.0)
+    """Weight of one clause's hits, each times the factor of the grammar's state it is met in.
+
+    A target may also follow: where the forward run has none in reach, the backward run's factor counts.
+    """
+    behind, state = [], 0
+    for kind, _ in reversed(classes):
+        behind.append(TARGETED.factor[state])
+        state = TARGETED.next[state][kind]
+    total, state = 0.0, 0
+    for (kind, weight), after in zip(classes, reversed(behind)):
+        if weight:
+            total += weight * GRAMMAR.factor[state] * (after if state < UNTARGETED else 1.0)
+        state = GRAMMAR.next[state][kind]
     return total * (0.5 if quoted else 1.0)
 
 
@@ -202,7 +201,7 @@ def learn(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         return Model({}, PRIOR)
     counted = rows.mapInArrow(_terms_of, "term string, clean long, toxic long").groupBy("term").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= LEAST_ROWS)
-    lift = ((F.col("toxic") + 0.5) / (sizes[1] + 1)) / ((F.col("clean") + 0.5) / (sizes[0] + 1))
+    lift = ((F.col("toxic") + 1) / (sizes[1] + 2)) / ((F.col("clean") + 1) / (sizes[0] + 2))
     top = (counted.withColumn("lift", lift).where(F.col("lift") >= LIFT)
            .orderBy(F.desc(F.col("toxic") * F.log("lift")), "term").limit(TERMS).collect())
     terms = {r.term: float(np.log(r.lift)) for r in top}
