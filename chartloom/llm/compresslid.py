@@ -5,7 +5,7 @@ the `SAMPLE_ROWS` rows of that label with the smallest hash, up to `SAMPLE_CHARS
 `DICTIONARY_BYTES` in all. A text is encoded in blocks of `BLOCK` bytes, each with every dictionary, and
 the sizes are added up over the whole text. The smallest sum wins (ties: the label first in order). The
 margin to the second is turned into a score; narrow margins are rejected, with the best guess still
-given in `lang_pred`.
+given in `lang_pred`. Case, digits and punctuation are levelled before coding.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0; without any labelled row
 everything is; rows whose label is null teach nothing.
@@ -13,6 +13,7 @@ everything is; rows whose label is null teach nothing.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,9 +31,15 @@ BLOCK = 2_048
 LEVEL = 3
 NARROW = 3                # bytes; a smaller lead is rejected
 LETTER = regex.compile(r"\p{L}")
+BETWEEN = re.compile(r"[\W\d_]+")
 NONE = "und"
 
 
+def letters(text: str) -> bytes:
+    """The text as it is coded: lower-cased words with one space between."""
+    return BETWEEN.sub(" ", text.lower()).encode()
+
+
 def learn_dictionaries(df: DataFrame, train: Column, label: str, text: str = "text") -> dict[str, bytes]:
     """label -> dictionary content, from the rows where `train` holds."""
     rows = (df.where(train).select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").alias("text"))
@@ -44,7 +51,7 @@ def learn_dictionaries(df: DataFrame, train: Column, label: str, text: str = "te
     for row in picked.orderBy("label", "n").toLocalIterator():
         have = samples.get(row.label, b"")
         if len(have) < DICTIONARY_BYTES:
-            samples[row.label] = (have + row.text.encode() + b"\n")[:DICTIONARY_BYTES]
+            samples[row.label] = (have + letters(row.text) + b"\n")[:DICTIONARY_BYTES]
     return samples
 
 
@@ -66,7 +73,7 @@ class Languages:
         """(label, score, rejected)"""
         if text is None or not self.labels or not LETTER.search(text):
             return NONE, 0.0, True
-        sizes = self.sizes(text.encode())
+        sizes = self.sizes(letters(text))
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         lead = sizes[order[1]] - sizes[order[0]] if len(order) > 1 else NARROW
         return self.labels[order[0]], 1 - 2.0 ** (-lead / 4), lead < NARROW
