@@ -119,3 +119,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     scored = score_texts(docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out")), model)
     return scored.select("rest.doc_id", "rest.held_out", "score", "predicted")
+
+
+@query()
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.nndescent import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

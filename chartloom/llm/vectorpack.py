@@ -20,21 +20,46 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
+from chartloom.llm.bpe import byte_letters
 from chartloom.llm.words import views
 
 TOKENS = 4096
 SEGMENTS = 512
 LOSS = 4096
-POOL = 512
+POOL = 256
 END = 2
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 LONGEST_KNOWN = 64
+# how the vocabulary file cuts lower-cased text: fixed
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class Pieces(dict):
+    """Ids of lower-cased pieces; emptied when it has `KNOWN_WORDS`."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters = tokenizer.model, {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() and piece.isalpha() else "".join(self.letters[b] for b in piece.encode())
+        ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        if len(piece) <= LONGEST_KNOWN:
+            self[piece] = ids
+        return ids
 
 
 class WordIds:
-    """Ids of words between ASCII white space, which no token of the vocabulary spans."""
+    """Ids of words between ASCII white space, which no token of the vocabulary spans.
+
+    Latin words are cut into the vocabulary's pieces here and each new piece goes to the library's
+    model; whatever needs the library's normaliser (other scripts, special tokens) goes through all of it.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,23 +67,34 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.pieces = Pieces(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out, other, pieces = {}, [], self.pieces
+        for word in words:
+            text = word.decode()
+            # below this letter text is in normal form already and lower case is letter by letter
+            if (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)) and "<|" not in text:
+                out[word] = b"".join(map(pieces.__getitem__, PIECES.findall(text.lower())))
+            else:
+                other.append(word)
+        for word, encoded in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
+            out[word] = np.array(encoded.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        fresh = dict(zip(new, self._encode(new)))
-        lasting = {w: i for w, i in fresh.items() if len(w) <= LONGEST_KNOWN}
-        if len(self.known) + len(lasting) > KNOWN_WORDS:
+        fresh = self._encode(list({w for words in split for w in words} - self.known.keys()))
+        if len(self.known) + len(fresh) > KNOWN_WORDS:
             needed = {w for words in split for w in words}
             self.known = {w: i for w, i in self.known.items() if w in needed}
-        self.known |= lasting
-        lookup = self.known if len(lasting) == len(fresh) else self.known | fresh
-        return [b"".join(map(lookup.__getitem__, words)) for words in split]
+        self.known |= fresh
+        ids = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for word in fresh:
+            if len(word) > LONGEST_KNOWN:
+                del self.known[word]
+        return ids
 
 
 @lru_cache(maxsize=2)
