@@ -125,3 +125,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.nndescent import nearest
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS f,
+      array_to_string(list_transform(string_split(h, ''), lambda c: list_extract(
+          ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'],
+          instr('0123456789abcdef', c))), '') AS bits FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(0, 5), lambda j: (substr(bits, 5 * i + j + 1, 1) = '1')::INT * (16 >> j::INT)))::INT, 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
+FROM d
+""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.warc import archive_round_trip
+    read = archive_round_trip(table(spark, sf_dir, "pages"), revisit_from=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
