@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
                 page, address, body, first, again = row
                 body = body.encode()
                 data = _gzip(record(page, address, body, sha1_base32(body), (first,) if again else None))
-                out = out or store.open_output_stream(f"{path}/{name}")
+                out = out or store.open_output_stream(f"{path}/{name}", compression=None)
                 out.write(data)
                 rows.append((key_of(address, page), name, at, len(data)))
                 at += len(data)
@@ -163,7 +163,7 @@ def write_index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFra
         def put(rows):
             nonlocal out, at
             data = _gzip("".join(f"{k}\t{a}\t{o}\t{n}\n" for k, a, o, n in rows).encode())
-            out = out or store.open_output_stream(f"{path}/{name}")
+            out = out or store.open_output_stream(f"{path}/{name}", compression=None)
             out.write(data)
             at += len(data)
             return pa.RecordBatch.from_pydict(
