@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Mersenne prime 2^31 - 1: products of two residues stay inside a long
 PRIME = 2147483647
+# distance of the two seeds' factors
+SECOND = 7919
 
 
 def hash32(value: Column) -> Column:
@@ -13,12 +15,16 @@ def hash32(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def row_seed(key: Column) -> Column:
-    return hash32(key) % PRIME
+def with_row_seeds(df: DataFrame, key: Column) -> DataFrame:
+    """Add `_row` and `_row2`, residues from two words of the key's md5: rows are drawn alike only if
+    they agree in both."""
+    hashed = F.md5(key.cast("string").cast("binary"))
+    return (df.withColumn("_row", F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") % PRIME)
+            .withColumn("_row2", F.conv(F.substring(hashed, 9, 8), 16, 10).cast("long") % PRIME))
 
 
-# The draw of a (row, replicate): a residue mod PRIME from one md5 per row and arithmetic per
-# replicate. Two multiply-add rounds with a shift between them; the factors depend on the
+# The draw of a (row, replicate): the sum, mod PRIME, of one residue for each seed of the row, made by
+# arithmetic per replicate. Two multiply-add rounds with a shift between them; the factors depend on the
 # replicate only, so within a replicate the rows' draws are spread evenly. The rounds are two
 # columns, because the second uses the first twice.
 
@@ -36,7 +42,9 @@ def second_round(first: Column, replicate: Column, seed: int) -> Column:
     return (mixed * 630360016 + _factor(replicate, seed)) % PRIME
 
 
-def with_draw(df: DataFrame, row: str, replicate: str, seed: int, out: str) -> DataFrame:
+def with_draw(df: DataFrame, replicate: str, seed: int, out: str) -> DataFrame:
     rep = F.col(replicate).cast("long")
-    return (df.withColumn("_first", first_round(F.col(row), rep, seed))
-            .withColumn(out, second_round(F.col("_first"), rep, seed)).drop("_first"))
+    return (df.withColumn("_first", first_round(F.col("_row"), rep, seed))
+            .withColumn("_second", first_round(F.col("_row2"), rep, seed + SECOND))
+            .withColumn(out, (second_round(F.col("_first"), rep, seed) + second_round(F.col("_second"), rep, seed + SECOND)) % PRIME)
+            .drop("_first", "_second"))

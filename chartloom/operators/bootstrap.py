@@ -6,13 +6,11 @@ from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chartloom.functions.hashing import PRIME, row_seed, with_draw
+from chartloom.functions.hashing import PRIME, with_draw, with_row_seeds
 from chartloom.operators import curves, metrics
 from chartloom.operators.ordered import positions, range_bounds
 
 REPLICATES = 1000
-# beyond this many rows a resample by position gains nothing over Poisson weights
-EXACT_LIMIT = 100_000
 
 
 def poisson_cuts() -> list[int]:
@@ -28,33 +26,33 @@ def poisson_weight(draw: Column) -> Column:
     return sum(((draw >= cut).cast("int") for cut in poisson_cuts()), F.lit(0))
 
 
-def replicate(df: DataFrame, row_key: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
+def replicate(df: DataFrame, row_key: str | list[str], replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """(rep, w, columns): every row in every replicate that draws it, with the times it is drawn.
 
     Poisson(1) weights stand for drawing n rows with replacement; they need no row numbers, no
     join, and all metrics share one set of draws. Rows a replicate does not draw are left out at
-    once. Whoever aggregates by `rep` combines within the task first.
+    once. Whoever aggregates by `rep` combines within the task first. `row_key` must tell all rows
+    apart (several columns may): rows with the same key are drawn together.
     """
-    # few rows become many: spread them over all cores before they are repeated
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    seeded = df.withColumn("_row", row_seed(F.col(row_key))).repartition(cores, "_row")
+    keys = [row_key] if isinstance(row_key, str) else row_key
+    key = F.col(keys[0]) if len(keys) == 1 else F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    # few rows become many: dealt over the shuffle partitions, which are sized to the data, before they are repeated
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeded = with_row_seeds(df, key).repartition(partitions, "_row", "_row2")
     every = seeded.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = with_draw(every, "_row", "rep", seed, "_draw").where(F.col("_draw") >= poisson_cuts()[0])
-    return drawn.withColumn("w", poisson_weight(F.col("_draw"))).drop("_row", "_draw")
+    drawn = with_draw(every, "rep", seed, "_draw").where(F.col("_draw") >= poisson_cuts()[0])
+    return drawn.withColumn("w", poisson_weight(F.col("_draw"))).drop("_row", "_row2", "_draw")
 
 
 def resample(df: DataFrame, order: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """(rep, w, columns): n draws with replacement by position along the unique `order`.
 
-    Draws all n rows. Meant for tables up to EXACT_LIMIT rows; `replicate` beyond that.
+    Moves a row per draw, where `replicate` moves none; both are exact.
     """
     n = df.count()
-    if n > EXACT_LIMIT:
-        raise ValueError(f"{n} rows: use replicate() above {EXACT_LIMIT}")
     place = positions(df, order).drop("position_count")
-    draws = df.sparkSession.range(replicates * n).select(
-        (F.col("id") / n).cast("int").alias("rep"), row_seed(F.col("id") % n).alias("_row"))
-    times = (with_draw(draws, "_row", "rep", seed, "_draw")
+    draws = with_row_seeds(df.sparkSession.range(replicates * n).withColumn("rep", (F.col("id") / n).cast("int")), F.col("id") % n)
+    times = (with_draw(draws, "rep", seed, "_draw")
              .select("rep", (F.col("_draw") * n / PRIME).cast("long").alias("position"))
              .groupBy("rep", "position").agg(F.count(F.lit(1)).alias("w")))
     return times.join(place, "position").drop("position")
@@ -93,10 +91,6 @@ def bootstrap_spearman(df: DataFrame, row_key: str, truth: str, prediction: str,
     return interval(stats, list(keys), "spearman")
 
 
-# --- fixed values: report columns -------------------------------------------------------------
-METRICS = ["AUROC", "ACC", "Recall", "Spec", "F1", "AP", "PPV", "AUPRC"]
-
-
 def _classes() -> dict[str, tuple[Column, Column]]:
     return {"0": (1 - F.col("y"), F.col("zero")), "1": (F.col("y"), F.col("one"))}
 

@@ -6,33 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key, _pieces) of the keys that own more than one shuffle partition's fair share of rows,
-    with the number of partitions such a key fills. At most as many rows as there are shuffle
-    partitions; none on evenly spread data."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.select(F.sum("_n")).scalar()
-    return (counted.where(F.col("_n") * partitions > total)
-            .select(key, F.ceil(F.col("_n") * partitions / total).cast("int").alias("_pieces")))
-
-
-def interval_join(left: DataFrame, lines: DataFrame, key: str, point: str, low: str, high: str,
-                  line_salt: list[str]) -> DataFrame:
+
+def interval_join(left: DataFrame, lines: DataFrame, key: str, point: str, low: str, high: str) -> DataFrame:
     """Equi-join on `key` where `low <= point <= high`, both ends included.
 
-    The band is a residual predicate of the equi-join, never a cross product. One key may own a
-    large share of the lines: its lines are split by a hash of `line_salt`, and its rows on the
-    short side (one per admission) are repeated once per piece. Other keys stay as they are.
+    The band is a residual predicate of the equi-join, never a cross product. Each side is read and
+    shuffled once; the lines of a key that owns a large share of them are split at run time by
+    adaptive execution (`spark.sql.adaptive.skewJoin`), which needs no count beforehand.
     """
-    hot = F.broadcast(hot_keys(lines, key))  # bounded by the number of shuffle partitions
-    pieces = F.coalesce("_pieces", F.lit(1))
-    spread = (lines.join(hot, key, "left")
-              .withColumn("_piece", F.pmod(F.xxhash64(*line_salt), pieces).cast("int")).drop("_pieces"))
-    repeated = (left.join(hot, key, "left")
-                .withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces"))
-    return (repeated.join(spread, [key, "_piece"])
-            .where(F.col(point).between(F.col(low), F.col(high))).drop("_piece"))
+    return left.join(lines, key).where(F.col(point).between(F.col(low), F.col(high)))
 
 
 def adults(df: DataFrame, age: str = "Age", at_least: int = 18) -> DataFrame:

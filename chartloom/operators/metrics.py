@@ -67,7 +67,12 @@ def binary_metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str,
 
 def confusion(df: DataFrame, truth: str, predicted: str, classes: list[int]) -> DataFrame:
     """Counts on the full grid of classes, and the shares by true and by predicted class."""
-    counted = df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+    stray = F.raise_error(F.concat(F.lit("label outside the classes: "), F.col(truth).cast("string"), F.lit(" / "),
+                                   F.coalesce(F.col(predicted).cast("string"), F.lit("null"))))
+    listed = F.col(truth).isin(classes) & F.col(predicted).isin(classes)
+    # classes x classes rows at most: any other label ends the query
+    counted = (df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("n", F.when(listed, F.col("n")).otherwise(stray.cast("long"))))
     values = F.array(*[F.lit(k) for k in classes])
     spark = df.sparkSession
     grid = (spark.range(1).select(F.explode(values).alias(truth))

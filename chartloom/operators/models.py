@@ -9,7 +9,6 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.feature import VectorAssembler
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartloom.sources.checkpoints import materialise
@@ -20,33 +19,24 @@ ALPHAS = [0.0001, 0.001, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.5, 1, 1.5, 2, 5]
 INVERSE_PENALTIES = [0.0001, 0.001, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.5, 1, 1.5, 2, 5]
 BEST_ALPHA = 0.01
 FOLDS = 5
-# steps of Spark's optimiser, which are not those of coordinate descent
-MAX_ITERATIONS = 300
-SEARCH_ITERATIONS = 100
-# scores settle long before the last digits of the weights do
-SEARCH_TOLERANCE = 1e-4
+MAX_ITERATIONS = 1000
+LASSO_SEARCH_ITERATIONS = 100
+TOLERANCE = 1e-8
 
 
 def lasso(alpha: float = BEST_ALPHA, features: str = "features", label: str = "mrs",
-          max_iter: int = MAX_ITERATIONS, tol: float = 1e-6) -> LinearRegression:
+          max_iter: int = MAX_ITERATIONS, tol: float = TOLERANCE) -> LinearRegression:
     """1/(2n) |y - Xw - b|^2 + alpha |w|_1 with a free intercept, on unscaled features."""
     return LinearRegression(featuresCol=features, labelCol=label, predictionCol="y_pred",
                             elasticNetParam=1.0, regParam=float(alpha), standardization=False,
                             solver="l-bfgs", tol=tol, maxIter=max_iter)
 
 
-# iterative training runs one job per step: a partition with few rows costs more than it gives
-ROWS_PER_TRAINING_TASK = 10_000
-
-
 def pack(df: DataFrame) -> DataFrame:
-    """Training rows in memory, in no more partitions than their number calls for. The lineage is
-    cut: every step would ship the plan that made the features along with its tasks."""
-    df = materialise(df)
-    wanted = max(1, -(-df.count() // ROWS_PER_TRAINING_TASK))
-    if df.rdd.getNumPartitions() > wanted:
-        df = df.repartition(wanted)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Training rows as a stored table: every step would ship the plan that made the features along
+    with its tasks. Small files are read together by one task, and the solvers keep what they iterate
+    over in memory themselves."""
+    return materialise(df)
 
 
 def _first_best(values: list[float]) -> int:
@@ -56,7 +46,7 @@ def _first_best(values: list[float]) -> int:
 def search_alpha(train: DataFrame, order: str, features: str = "features", label: str = "mrs",
                  alphas: list[float] = ALPHAS, folds: int = FOLDS, parallelism: int = 8) -> list[tuple[float, float]]:
     """(alpha, mean R2) over unshuffled folds. The best is the first with the highest mean."""
-    model = lasso(features=features, label=label, max_iter=SEARCH_ITERATIONS, tol=SEARCH_TOLERANCE)
+    model = lasso(features=features, label=label, max_iter=LASSO_SEARCH_ITERATIONS)
     grid = ParamGridBuilder().addGrid(model.regParam, [float(a) for a in alphas]).build()
     ready = pack(contiguous_folds(train.select(order, features, label), order, folds))
     search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
@@ -108,7 +98,7 @@ def search_penalty(prepared: DataFrame, order: str, label: str = "y",
     """(C, mean accuracy) over unshuffled stratified folds; the full grid."""
     ready = pack(stratified_folds(prepared.select(order, "features_1", label, "weight"), order, label, folds))
     n = ready.count() * (folds - 1) / folds
-    model = logistic(1.0, label=label, max_iter=SEARCH_ITERATIONS, tol=SEARCH_TOLERANCE)
+    model = logistic(1.0, label=label)
     grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in grid_values]).build()
     search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
                             evaluator=MulticlassClassificationEvaluator(

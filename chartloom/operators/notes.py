@@ -19,7 +19,7 @@ def discharge_lines(admissions: DataFrame, notes: DataFrame) -> DataFrame:
     people = (adults(admissions)
               .withColumn("Date_mrs_post_discharge", F.col("HospitalDischargeDTS")).drop("mrs_90days"))
     return interval_join(people, notes, "PatientID", "ContactDTS", "HospitalAdmitDTS",
-                         "HospitalDischargeDTS", ["NoteID", "LineNBR"])
+                         "HospitalDischargeDTS")
 
 
 def follow_up_lines(admissions: DataFrame, notes: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def follow_up_lines(admissions: DataFrame, notes: DataFrame) -> DataFrame:
     without a follow-up date drop out: a comparison with null is never true."""
     visits = admissions.withColumn("mrs", F.col("mrs_90days")).drop("mrs_90days")
     return interval_join(visits, notes, "PatientID", "ContactDTS", "HospitalAdmitDTS",
-                         "Date_mrs_post_discharge", ["NoteID", "LineNBR"])
+                         "Date_mrs_post_discharge")
 
 
 def _starts_with_any(c: Column, prefixes: list[str]) -> Column:

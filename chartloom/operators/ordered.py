@@ -7,30 +7,25 @@ with one row per key and range carries totals and edge values across the cuts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-# rows one range may hold before the order is cut further, and the most ranges there can be
-ROWS_PER_RANGE = 100_000
-MAX_RANGES = 512
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def range_bounds(df: DataFrame, order: str) -> list[float]:
-    """Cut points from Spark's quantile sketch: fewer than MAX_RANGES numbers reach the driver.
-    Empty when all rows fit in one range."""
+    """Cut points from Spark's quantile sketch: as many ranges as the session has shuffle partitions,
+    which is what one sizes to the data. One number per range reaches the driver."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = df.select(F.col(order).cast("double").alias("v"))
-    ranges = min(MAX_RANGES, -(-values.count() // ROWS_PER_RANGE))
-    if ranges <= 1:
-        return []
     return sorted(set(values.approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
 
 
-def range_of(value: Column, bounds: list[float], first: int = 0) -> Column:
-    """Index of the value's range, found by halving; a bound belongs to the range below it."""
-    if not bounds:
-        return F.lit(first)
-    middle = len(bounds) // 2
-    return F.when(value <= bounds[middle], range_of(value, bounds[:middle], first)).otherwise(
-        range_of(value, bounds[middle + 1:], first + middle + 1))
+def with_range(df: DataFrame, order: str, bounds: list[float], out: str) -> DataFrame:
+    """Add the index of the value's range, by binary search; a bound belongs to the range above it."""
+    splits = [-float("inf"), *(b + 0.0 for b in bounds), float("inf")]
+    cut = Bucketizer(splits=splits if bounds else [-float("inf"), 0.0, float("inf")], inputCol="_at", outputCol="_bucket",
+                     handleInvalid="keep")
+    ranged = cut.transform(df.withColumn("_at", F.col(order).cast("double")))
+    return ranged.withColumn(out, F.col("_bucket").cast("int")).drop("_at", "_bucket")
 
 
 def ordered_scan(df: DataFrame, keys: list[str], order: str, *, descending: bool = False,
@@ -47,8 +42,9 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, *, descending: bool
     """
     if bounds is None:
         bounds = range_bounds(df, order)
-    at = range_of(F.col(order).cast("double"), bounds)
-    ranged = df.withColumn("_range", (F.lit(len(bounds)) - at) if descending else at)
+    ranged = with_range(df, order, bounds, "_range")
+    if descending:
+        ranged = ranged.withColumn("_range", -F.col("_range"))
 
     by = F.col(order).desc() if descending else F.col(order).asc()
     part = Window.partitionBy(*keys, "_range")
@@ -61,10 +57,6 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, *, descending: bool
         **{f"prev_{c}": F.last(c, ignorenulls=True).over(so_far) for c in down},
         **{f"foll_{c}": F.first(c, ignorenulls=True).over(from_here) for c in up},
     })
-    if not bounds:
-        # a single range: its totals are the totals
-        return scanned.withColumns({f"all_{c}": F.sum(c).over(part) for c in sums}).drop("_range")
-
     first_by, last_by = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
 
     def known(c):
@@ -76,7 +68,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, *, descending: bool
         *[first_by(c, order).alias(f"_n_{c}") for c in leads],
         *[last_by(F.col(c), known(c)).alias(f"_d_{c}") for c in down],
         *[first_by(F.col(c), known(c)).alias(f"_u_{c}") for c in up])
-    # one row per key and range: at most MAX_RANGES rows in a partition of these windows
+    # one row per key and range: as many rows in a partition of these windows as there are ranges
     across = Window.partitionBy(*keys).orderBy("_range")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     after = across.rowsBetween(1, Window.unboundedFollowing)
@@ -89,7 +81,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, *, descending: bool
         *[F.last(f"_d_{c}", ignorenulls=True).over(before).alias(f"_cd_{c}") for c in down],
         *[F.first(f"_u_{c}", ignorenulls=True).over(after).alias(f"_cu_{c}") for c in up])
     if not keys:
-        carried = F.broadcast(carried)  # at most MAX_RANGES rows
+        carried = F.broadcast(carried)  # one row per range
 
     joined = scanned.join(carried, [*keys, "_range"])
     return joined.select(

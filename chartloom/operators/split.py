@@ -40,7 +40,7 @@ def stratified_folds(df: DataFrame, order: str, label: str, folds: int = 5) -> D
     sizes = (counted.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
              .withColumn("_before", F.coalesce(F.sum("_n").over(
                  Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    joined = placed.join(sizes, label)
+    joined = placed.join(F.broadcast(sizes), label)  # one row per class
     at = F.col("cum__one") - 1
     start, end = F.col("_before"), F.col("_before") + F.col("_n")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartloom.functions import labels
-from chartloom.functions.hashing import PRIME
+from chartloom.functions.hashing import PRIME, SECOND
 from chartloom.operators import bootstrap, curves, metrics, report
 from chartloom.operators.features import document_frequency
 from chartloom.operators.models import balanced_weights
@@ -261,22 +261,26 @@ def class_weights(t: Tables):
 
 # ---- bootstrap ---------------------------------------------------------------------------------
 
-def draw_sql(row: str, rep: str, seed: int) -> str:
+def draw_sql(row: str, row2: str, rep: str, seed: int) -> str:
+    return f"(({one_draw_sql(row, rep, seed)} + {one_draw_sql(row2, rep, seed + SECOND)}) % {PRIME})"
+
+
+def one_draw_sql(row: str, rep: str, seed: int) -> str:
     a = f"(({rep} * 48271 + {seed * 69621 + 16807}) % {PRIME})"
     b = f"(({rep} * 39373 + {seed * 742938285 % PRIME + 1}) % {PRIME})"
     first = f"(({row} * ({a} + 1) + {b}) % {PRIME})"
     return f"(((xor({first}, {first} >> 15) % {PRIME}) * 630360016 + {a}) % {PRIME})"
 
 
-def seed_sql(key: str) -> str:
-    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8))::BIGINT % {PRIME})"
+def seed_sql(key: str, at: int = 1) -> str:
+    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR)), {at}, 8))::BIGINT % {PRIME})"
 
 
 def replicate_sql(source: str, seed: int, replicates: int = bootstrap.REPLICATES) -> str:
     weight = " + ".join(f"CAST(u >= {cut} AS INTEGER)" for cut in bootstrap.poisson_cuts())
-    return f"""seeds AS (SELECT *, {seed_sql('doc_id')} AS h FROM {source}),
-drawn AS (SELECT s.*, r.rep, {draw_sql('s.h', 'r.rep', seed)} AS u FROM seeds s, range({replicates}) r(rep)),
-reps AS (SELECT * EXCLUDE (u, h), {weight} AS w FROM drawn WHERE {weight} > 0)"""
+    return f"""seeds AS (SELECT *, {seed_sql('doc_id')} AS h, {seed_sql('doc_id', 9)} AS h2 FROM {source}),
+drawn AS (SELECT s.*, r.rep, {draw_sql('s.h', 's.h2', 'r.rep', seed)} AS u FROM seeds s, range({replicates}) r(rep)),
+reps AS (SELECT * EXCLUDE (u, h, h2), {weight} AS w FROM drawn WHERE {weight} > 0)"""
 
 
 @query(f"""
@@ -309,8 +313,8 @@ def bootstrap_binary(t: Tables):
 
 @query(f"""
 WITH {SCORED_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM scored),
-k AS (SELECT place AS k, n, {seed_sql('place')} AS h FROM p), r AS (SELECT rep FROM range({bootstrap.REPLICATES}) r(rep)),
-d AS (SELECT rep, CAST(floor({draw_sql('h', 'rep', 1)} * n / {PRIME}) AS BIGINT) AS place FROM k, r),
+k AS (SELECT place AS k, n, {seed_sql('place')} AS h, {seed_sql('place', 9)} AS h2 FROM p), r AS (SELECT rep FROM range({bootstrap.REPLICATES}) r(rep)),
+d AS (SELECT rep, CAST(floor({draw_sql('h', 'h2', 'rep', 1)} * n / {PRIME}) AS BIGINT) AS place FROM k, r),
 v AS (SELECT rep, sqrt(avg(pow(mrs - y_pred, 2))) AS value FROM d JOIN p USING (place) GROUP BY rep)
 SELECT round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, count(*) AS used FROM v""")
 def bootstrap_exact(t: Tables):

@@ -201,8 +201,7 @@ def stay_lines(t: Tables):
                                           "l_partkey")).alias("NoteTXT"),
                      F.when(F.col("l_tax") == 0, "PHS IP OT Discharge Box").when(
                          F.col("l_tax") == 0.08, "Discharge Summary").alias("tag")))
-    return joins.interval_join(stays(t).drop("follow_up_date"), lines, "o_custkey", "contact", "admit", "discharge",
-                               ["NoteID", "LineNBR"])
+    return joins.interval_join(stays(t).drop("follow_up_date"), lines, "o_custkey", "contact", "admit", "discharge")
 
 
 @query(f"""
@@ -243,7 +242,7 @@ SELECT o_orderkey, Notes, CAST(len(string_split(Notes, ' ')) AS INTEGER) AS toke
 def latest_stay_document(t: Tables):
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.to_date("l_shipdate").alias("contact"),
                               F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("Notes"))
-    near = joins.interval_join(stays(t), lines, "o_orderkey", "contact", "admit", "discharge", ["l_linenumber", "Notes"])
+    near = joins.interval_join(stays(t), lines, "o_orderkey", "contact", "admit", "discharge")
     latest = grouping.latest_per_group(near.withColumn("month", F.trunc("contact", "month")), ["o_orderkey"], "month")
     docs = grouping.concat_ordered(latest, ["o_orderkey"], ["l_linenumber"], "Notes")
     clean = text.dedupe_words(text.collapse_whitespace(text.strip_special(text.strip_digits(F.lower("Notes")))))

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.sources.tables import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,5 +36,6 @@ class Tables:
 
     @property
     def texts(self) -> DataFrame:
-        """`documents`, for work on every text."""
-        return spread(self.spark.read.parquet(f"{self.sf_dir}/documents.parquet"))
+        """`documents`, for work on every text. The driver's files are one row group each, which one task
+        reads; the hint lets adaptive execution deal them out. The operators themselves never do."""
+        return self.documents.hint("rebalance")

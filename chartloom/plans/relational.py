@@ -191,8 +191,7 @@ WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 365 DAY
 def interval_join(t: Tables):
     admissions = stays(t).withColumnRenamed("o_orderkey", "key")
     lines = t.lineitem.withColumn("contact", F.to_date("l_shipdate")).withColumnRenamed("l_orderkey", "key")
-    joined = joins.interval_join(admissions, lines, "key", "contact", "admit", "discharge",
-                                 ["l_linenumber", "l_partkey", "l_suppkey"])
+    joined = joins.interval_join(admissions, lines, "key", "contact", "admit", "discharge")
     return joined.select(F.col("key").alias("o_orderkey"), "o_custkey", "l_partkey", "l_suppkey", "l_linenumber",
                          "l_quantity", day("admit").alias("admit"), day("contact").alias("contact"),
                          F.datediff("discharge", "contact").alias("days_left"))
@@ -271,7 +270,7 @@ FROM (SELECT *, min(days) OVER (PARTITION BY o_orderkey) AS least_days FROM d) W
 def closest_mention(t: Tables):
     lines = t.lineitem.withColumn("contact", F.to_date("l_shipdate")).withColumnRenamed("l_orderkey", "key")
     near = joins.interval_join(stays(t).withColumnRenamed("o_orderkey", "key"), lines, "key", "contact", "admit",
-                               "discharge", ["l_linenumber", "l_partkey"])
+                               "discharge")
     days = near.select(F.col("key").alias("o_orderkey"), "l_partkey", "l_linenumber",
                        F.datediff("discharge", "contact").alias("days"))
     return grouping.union_all(*[

@@ -26,13 +26,6 @@ def read_note_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return read_csv(spark, path, schema, encoding="windows-1252")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Text work is heavy on CPU, and a file is read by at most one task per row group. A table that
-    comes in fewer splits than there are cores is dealt out; a large one is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def parse_dates(df: DataFrame, columns=DATE_COLUMNS, fmt: str = "M/d/yyyy") -> DataFrame:
     """Text dates become DateType once, at ingest. An unreadable or empty date becomes null."""
     present = [c for c in columns if c in df.columns]
