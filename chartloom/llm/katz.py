@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from chartloom.llm.anchors import wrap
-from chartloom.llm.store import answer_chunks, chunk_store, shard_count, stage, unpack_message
+from chartloom.llm.store import (answer_chunks, chunk_store, ordered_planes, ordered_unplanes, planes, shard_count, stage,
+                                 unpack_message, unplanes)
 from chartloom.llm.words import LOWER, STEP, mix, views, word_hashes, word_spans
 
 LOW = 5
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 PER_SHARD = 2_000_000
 END, BEGIN = np.uint64(0x5E4D), np.uint64(0xBE61)
 MESSAGE = "shard int, chunk long, keys binary, counts binary, singles array<long>"
@@ -57,11 +58,12 @@ class Tokens:
             lengths.append(n + 1)
         tokens = np.concatenate(stream or [np.zeros(0, np.uint64)])
         self.lengths = np.concatenate(lengths or [np.zeros(0, np.int64)])
-        self.rows = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.rows = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         train = rows.column("rest").field(train_field)
         train = np.array([bool(x) for x in train.to_pylist()], dtype=bool)
         self.train = train[self.rows] if len(tokens) else np.zeros(0, bool)
         self.types, self.at = np.unique(tokens, return_inverse=True)
+        self.at = self.at.astype(np.int32)
         self.local = np.bincount(self.at, weights=self.train, minlength=len(self.types)).astype(np.int64)
 
     def bigrams(self, totals: np.ndarray, elsewhere: np.ndarray, begins: int):
@@ -72,6 +74,8 @@ class Tokens:
             history[starts] = -1
         pair = (history + 1) * np.int64(len(self.types)) + self.at
         self.pairs, self.pair_at = np.unique(pair, return_inverse=True)
+        self.pair_at = self.pair_at.astype(np.int32)
+        del history, pair
         self.pair_local = np.bincount(self.pair_at, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
         self.history = self.pairs // max(1, len(self.types)) - 1
         self.word = self.pairs % max(1, len(self.types))
@@ -97,8 +101,8 @@ def _messages(chunk: int, keys: np.ndarray, values: np.ndarray, shards: int, sin
     used = [s for s in range(shards) if cut[s] < cut[s + 1] or (singles and s == 0)]
     return pa.RecordBatch.from_arrays([
         pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()),
-        pa.array([keys[cut[s]:cut[s + 1]].tobytes() for s in used], pa.binary()),
-        pa.array([values[cut[s]:cut[s + 1]].tobytes() for s in used], pa.binary()),
+        pa.array([ordered_planes(keys[cut[s]:cut[s + 1]]) for s in used], pa.binary()),
+        pa.array([planes(values[cut[s]:cut[s + 1]]) for s in used], pa.binary()),
         pa.array([singles if s == 0 else None for s in used], pa.list_(pa.int64())),
     ], names=["shard", "chunk", "keys", "counts", "singles"])
 
@@ -106,7 +110,7 @@ def _messages(chunk: int, keys: np.ndarray, values: np.ndarray, shards: int, sin
 def _answered(found: dict, keys: np.ndarray, shards: int, level: int, width: int, kind) -> np.ndarray:
     """The numbers that came back for the sorted keys, in their order."""
     cut = _cut(keys, shards)
-    parts = [np.frombuffer(found[level * shards + s], kind) for s in range(shards) if cut[s] < cut[s + 1]]
+    parts = [unplanes(found[level * shards + s], kind) for s in range(shards) if cut[s] < cut[s + 1]]
     return np.concatenate(parts or [np.zeros(0, kind)]).reshape(-1, width)
 
 
@@ -118,12 +122,12 @@ def _histogram(counts: np.ndarray) -> list[int]:
 def add_counts(messages: DataFrame, shards: int, level: int) -> DataFrame:
     """Totals of every key. Answers: one row per chunk, with 4 * the total of each key it sent, + 2 if
     another chunk sent it, + 1 if this is the first chunk that counted it. Chunk -1 is the shard's part of the model: keys and counts,
-    and as stats the number of tokens, of types and of types by low count."""
+    and as stats the number of tokens, of types and of types by low count. Numbers travel as byte planes."""
     def add(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         shard, chunks = table.column("shard")[0].as_py(), table.column("chunk").to_pylist()
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-        counts = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")]
+        keys = [ordered_unplanes(x.as_buffer()) for x in table.column("keys")]
+        counts = [unplanes(x.as_buffer(), np.int64) for x in table.column("counts")]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         flat = np.concatenate(counts)
         totals = np.zeros(len(distinct), np.int64)
@@ -137,14 +141,14 @@ def add_counts(messages: DataFrame, shards: int, level: int) -> DataFrame:
         out, base = [], 0
         for chunk, own in zip(chunks, keys):
             span = slice(base, base + len(own))
-            out.append((chunk, level * shards + shard, (marked[at[span]] + first[span]).tobytes(), None))
+            out.append((chunk, level * shards + shard, planes(marked[at[span]] + first[span]), None))
             base += len(own)
         seen = totals > 0
         low = np.array(_histogram(totals))
         for singles in table.column("singles").to_pylist():
             if singles:
                 low = low + np.array(singles)
-        model = distinct[seen].tobytes() + totals[seen].tobytes()
+        model = ordered_planes(distinct[seen]) + planes(totals[seen])
         out.append((-1, level * shards + shard, model, [int(totals.sum()), int(seen.sum()), *map(int, low)]))
         return _rows(out)
     return messages.groupBy("shard").applyInArrow(add, ANSWER)
@@ -161,13 +165,13 @@ def add_sums(messages: DataFrame, shards: int, level: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")                             # the same order of addition each time
         shard, chunks = table.column("shard")[0].as_py(), table.column("chunk").to_pylist()
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-        sums = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("counts")]).reshape(-1, 2)
+        keys = [ordered_unplanes(x.as_buffer()) for x in table.column("keys")]
+        sums = np.concatenate([unplanes(x.as_buffer(), np.float64) for x in table.column("counts")]).reshape(-1, 2)
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.stack([np.bincount(at, weights=sums[:, i], minlength=len(distinct)) for i in (0, 1)], axis=1)
         out, base = [], 0
         for chunk, own in zip(chunks, keys):
-            out.append((chunk, level * shards + shard, totals[at[base:base + len(own)]].tobytes(), None))
+            out.append((chunk, level * shards + shard, planes(totals[at[base:base + len(own)]]), None))
             base += len(own)
         return _rows(out)
     return messages.groupBy("shard").applyInArrow(add, ANSWER)
@@ -340,6 +344,7 @@ def chunks_train_rows(first: DataFrame, shards: int) -> int:
     row = first.where(F.col("chunk") == -1).where(F.col("shard") == int(END) >> (64 - bits)).select("payload").first()
     if row is None:
         return 0
-    keys, counts = np.split(np.frombuffer(row.payload, np.uint64), 2)
+    half = len(row.payload) // 2
+    keys, counts = ordered_unplanes(row.payload[:half]), unplanes(row.payload[half:], np.int64)
     at = np.searchsorted(keys, END)
     return int(counts[at]) if at < len(keys) and keys[at] == END else 0

@@ -110,12 +110,31 @@ def answer_chunks(chunks: DataFrame, answers: DataFrame, work: Callable, schema:
             chunk = left.column("chunk")[0].as_py()
             for message in work(chunk, unpack_message(left.column("blob")[0].as_buffer()), found):
                 out.append(message.cast(arrow) if message.schema != arrow else message)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema=arrow)
 
     return (chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
             .applyInArrow(run, schema))
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """8-byte numbers, first bytes first: the high bytes of small ones become runs that compress to nothing."""
+    return np.ascontiguousarray(numbers.ravel()).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(data, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def ordered_planes(keys: np.ndarray) -> bytes:
+    """Sorted 8-byte keys as the planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def ordered_unplanes(data) -> np.ndarray:
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
+
+
 def shard_count(chunks: DataFrame, per_shard: int) -> int:
     """A power of two, so that a shard gets about `per_shard` entries if each 6 bytes make one."""
     from pyspark.sql import functions as F
