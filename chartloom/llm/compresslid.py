@@ -27,8 +27,8 @@ from chartloom.llm.anchors import wrap
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 4_000
 DICTIONARY_BYTES = 112 << 10
-BLOCK = 2_048
-LEVEL = 3
+BLOCK = 512
+LEVEL = 6
 NARROW = 3                # bytes; a smaller lead is rejected
 LETTER = regex.compile(r"\p{L}")
 BETWEEN = re.compile(r"[\W\d_]+")
@@ -63,7 +63,7 @@ class Languages:
         for label in self.labels:
             content = zstandard.ZstdCompressionDict(samples[label], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_dict_id=False))
+            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False))
 
     def sizes(self, data: bytes) -> list[int]:
         blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
