@@ -36,7 +36,7 @@ from chartloom.llm.store import new_path, shuffle_partitions, stage
 
 LINES = 1_000
 NEAR = 256 << 10          # bytes between two places that are still read in one go
-SPAN = 8 << 20            # bytes read at once, at most (a longer record is read by itself)
+SPAN = 2 << 20            # bytes read at once, at most (a longer record is read by itself)
 DATE = "1970-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n"
 CAPTURE = "key string, archive string, offset long, length long"
@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
         store, path = _files(folder)
         store.create_dir(path, recursive=True)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
-        for batch in batches:
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             rows = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first", "is_revisit"))):
                 page, address, body, first, again = row
