@@ -98,12 +98,9 @@ def token_count(c: Column) -> Column:
 
 
 def default_stop_words() -> list[str]:
-    """Spark ML's English list, calendar words and single letters. A site's own list replaces it:
-    pass `sources.tables.read_terms(...)` wherever a stop list is asked for."""
-    english = [w.replace("'", "") for w in StopWordsRemover.loadDefaultStopWords("english")]
-    # negations decide the outcome, and `up`/`down`/`all`/`any` describe motion and extent
-    keep = {"no", "not", "nor", "up", "down", "all", "any", "both", "each", "i", "l", "r"}
-    return sorted((set(english) | set(lexicon.calendar_words()) | set(lexicon.letters())) - keep)
+    """Spark ML's English list as it is. A site's own list replaces it: pass
+    `sources.tables.read_terms(...)` wherever a stop list is asked for."""
+    return StopWordsRemover.loadDefaultStopWords("english")
 
 
 def keep_tokens(tokens: Column, terms: list[str]) -> Column:

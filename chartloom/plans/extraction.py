@@ -252,7 +252,7 @@ def latest_stay_document(t: Tables):
 @query(rf"""
 WITH n AS (SELECT conv_id AS PatientID, CASE role WHEN 'user' THEN 'Male' WHEN 'assistant' THEN 'Female' ELSE 'Unknown' END AS sex,
     conv_id % 7 AS mrs, conv_id % 2 AS follow_up, turn // 2 AS NoteID, turn, {PLAIN_SQL} AS Notes FROM conversations),
-k AS (SELECT * FROM (SELECT *, sum(len(regexp_extract_all(Notes, '\w+'))) OVER (PARTITION BY PatientID, sex, mrs, follow_up) AS total FROM n)
+k AS (SELECT * FROM (SELECT *, sum(len(regexp_extract_all(Notes, '[\p{{L}}\p{{Nd}}]+'))) OVER (PARTITION BY PatientID, sex, mrs, follow_up) AS total FROM n)
       WHERE total >= 300)
 SELECT PatientID, CAST(CASE sex WHEN 'Male' THEN 0 WHEN 'Female' THEN 1 END AS INTEGER) AS SexDSC, mrs, follow_up, NoteID,
   trim(regexp_replace(string_agg(Notes, ' ' ORDER BY Notes), ' +', ' ', 'g')) AS Notes, CAST(mrs = 6 AS INTEGER) AS Expired

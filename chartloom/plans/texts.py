@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from chartloom.functions import lexicon, stem, text
 from chartloom.plans.registry import Tables, query
 
-# letters only, lower case: engines disagree about case and word characters beyond that
-PLAIN_SQL = "trim(regexp_replace(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), ' +', ' ', 'g'))"
+# words of letters and digits of any script, lower case: engines disagree about what else is in a word
+PLAIN_SQL = r"trim(regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{Nd} ]', ' ', 'g')), ' +', ' ', 'g'))"
 WORDS_SQL = f"list_filter(string_split({PLAIN_SQL}, ' '), lambda w: w <> '')"
 
 
 def plain(c="text"):
-    return text.collapse_whitespace(F.lower(F.regexp_replace(c, "[^a-zA-Z ]", " ")))
+    return text.collapse_whitespace(F.lower(F.regexp_replace(c, r"[^\p{L}\p{Nd} ]", " ")))
 
 
 def quoted(value: str) -> str:
@@ -145,7 +145,7 @@ def stem_tokens(t: Tables):
 
 
 @query(rf"""
-SELECT doc_id, CAST(len(regexp_extract_all({PLAIN_SQL}, '\w+')) AS INTEGER) AS tokens FROM documents""")
+SELECT doc_id, CAST(len(regexp_extract_all({PLAIN_SQL}, '[\p{{L}}\p{{Nd}}]+')) AS INTEGER) AS tokens FROM documents""")
 def token_count(t: Tables):
     return t.texts.select("doc_id", text.token_count(plain()).alias("tokens"))
 
@@ -189,8 +189,9 @@ WITH n AS (SELECT doc_id, {phrase_sql(NOTES)} || ' ' || regexp_replace(text, '[^
 SELECT doc_id, {dedupe_sql('s')} AS text FROM c7"""
 
 
-SITE_WORDS = lexicon.calendar_words() + lexicon.letters() + [
-    "the", "and", "of", "to", "a", "in", "is", "was", "with", "for", "patient", "note", "ros", "hr", "hx"]
+# a caller's list, in plain form
+SITE_WORDS = ["the", "and", "of", "to", "a", "in", "is", "was", "with", "for", "patient", "note", "ros", "hr", "hx",
+              "der", "die", "und", "le", "la", "de", "el", "du", "à"]
 
 
 @query(f"""
