@@ -64,10 +64,10 @@ def rmse(t: Tables):
     return rounded(scored(t).agg(metrics.rmse_of(F.col("mrs"), F.col("y_pred")).alias("rmse")), "rmse")
 
 
-def ranks_sql(source: str, keys: str = "") -> str:
+def ranks_sql(source: str, keys: str = "", name: str = "ranks") -> str:
     part = f"PARTITION BY {keys}" if keys else ""
     also = f"PARTITION BY {keys}, " if keys else "PARTITION BY "
-    return f"""ranks AS (SELECT *,
+    return f"""{name} AS (SELECT *,
       rank() OVER ({part} ORDER BY mrs) + (count(*) OVER ({also} mrs) - 1) / 2.0::DOUBLE AS rt,
       rank() OVER ({part} ORDER BY y_pred) + (count(*) OVER ({also} y_pred) - 1) / 2.0::DOUBLE AS rp FROM {source})"""
 
@@ -276,11 +276,11 @@ def seed_sql(key: str, at: int = 1) -> str:
     return f"(('0x' || substr(md5(CAST({key} AS VARCHAR)), {at}, 8))::BIGINT % {PRIME})"
 
 
-def replicate_sql(source: str, seed: int, replicates: int = bootstrap.REPLICATES) -> str:
+def replicate_sql(source: str, seed: int, replicates: int = bootstrap.REPLICATES, name: str = "reps") -> str:
     weight = " + ".join(f"CAST(u >= {cut} AS INTEGER)" for cut in bootstrap.poisson_cuts())
-    return f"""seeds AS (SELECT *, {seed_sql('doc_id')} AS h, {seed_sql('doc_id', 9)} AS h2 FROM {source}),
-drawn AS (SELECT s.*, r.rep, {draw_sql('s.h', 's.h2', 'r.rep', seed)} AS u FROM seeds s, range({replicates}) r(rep)),
-reps AS (SELECT * EXCLUDE (u, h, h2), {weight} AS w FROM drawn WHERE {weight} > 0)"""
+    return f"""{name}_seeds AS (SELECT *, {seed_sql('doc_id')} AS h, {seed_sql('doc_id', 9)} AS h2 FROM {source}),
+{name}_drawn AS (SELECT s.*, r.rep, {draw_sql('s.h', 's.h2', 'r.rep', seed)} AS u FROM {name}_seeds s, range({replicates}) r(rep)),
+{name} AS (SELECT * EXCLUDE (u, h, h2), {weight} AS w FROM {name}_drawn WHERE {weight} > 0)"""
 
 
 @query(f"""
@@ -330,12 +330,36 @@ BANDS_SQL = "(VALUES ('0', -1, 0), ('(0,7]', 0, 7), ('(7,35]', 7, 35), ('>35', 3
 WITH {SCORED_SQL}, banded AS (SELECT b.band, s.* FROM scored s JOIN {BANDS_SQL} ON s.nmin > b.above AND s.nmin <= b.upto),
 {ranks_sql('banded', 'band')}, pts AS (SELECT band, count(*) AS rows, sqrt(avg(pow(mrs - y_pred, 2))) AS rmse, corr(rt, rp) AS spearman FROM ranks GROUP BY 1),
 {replicate_sql('banded', 1)}, v AS (SELECT band, rep, sqrt(sum(w * pow(mrs - y_pred, 2)) / sum(w)) AS value FROM reps GROUP BY ALL HAVING min(mrs) < max(mrs)),
-ci AS (SELECT band, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM v GROUP BY 1)
-SELECT pts.band, rows, round(rmse, 6) AS rmse, round(spearman, 6) AS spearman, round(lo, 6) AS rmse_lo, round(hi, 6) AS rmse_hi
-FROM pts LEFT JOIN ci ON pts.band = ci.band""")
+ci AS (SELECT band, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM v GROUP BY 1),
+{replicate_sql('banded', 42, name='others')}, e AS (SELECT o.* FROM (SELECT *, unnest(range(w)) AS copy FROM others) o), {ranks_sql('e', 'band, rep', 'rep_ranks')},
+rho AS (SELECT band, rep, corr(rt, rp) AS value FROM rep_ranks GROUP BY ALL),
+ci_rho AS (SELECT band, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM rho WHERE NOT isnan(value) GROUP BY 1)
+SELECT pts.band, rows, round(rmse, 6) AS rmse, round(spearman, 6) AS spearman, round(ci.lo, 6) AS rmse_lo, round(ci.hi, 6) AS rmse_hi,
+  round(ci_rho.lo, 6) AS spearman_lo, round(ci_rho.hi, 6) AS spearman_hi
+FROM pts LEFT JOIN ci ON pts.band = ci.band LEFT JOIN ci_rho ON pts.band = ci_rho.band""")
 def metrics_by_band(t: Tables):
-    out = report.regression_by_band(scored(t), "doc_id", "mrs", "y_pred", "nmin").drop("spearman_lo", "spearman_hi")
-    return rounded(out, "rmse", "spearman", "rmse_lo", "rmse_hi")
+    out = report.regression_by_band(scored(t), "doc_id", "mrs", "y_pred", "nmin")
+    return rounded(out, "rmse", "spearman", "rmse_lo", "rmse_hi", "spearman_lo", "spearman_hi")
+
+
+# a band, and a band's replicate, are one key: both are reported from one set of curves
+@query(f"""
+WITH {SCORED_SQL}, banded AS (SELECT b.band, s.* FROM scored s JOIN {BANDS_SQL} ON s.nmin > b.above AND s.nmin <= b.upto),
+{replicate_sql('banded', 1, name='band_reps')},
+banded_once AS (SELECT *, 0 AS rep, 1 AS w FROM banded),
+reps AS (SELECT * EXCLUDE (band, rep, w), band AS rep, 1 AS w FROM banded_once
+  UNION ALL SELECT * EXCLUDE (band, rep, w), band || '|' || rep AS rep, w FROM band_reps),
+weighted AS (SELECT rep, w, '0' AS scope, 1 - y AS truth, zero AS score FROM reps UNION ALL SELECT rep, w, '1', y, one FROM reps
+  UNION ALL SELECT rep, w, 'micro', 1 - y, zero FROM reps UNION ALL SELECT rep, w, 'micro', y, one FROM reps), {CURVE_SQL},
+{values_sql('reps')}, usable AS (SELECT rep FROM reps GROUP BY rep HAVING min(y) < max(y)),
+points AS (SELECT rep AS band, scope, metric, value FROM flat WHERE NOT contains(rep, '|')),
+ranges AS (SELECT split_part(rep, '|', 1) AS band, scope, metric, greatest(quantile_cont(value, 0.025), 0) AS lo,
+  least(quantile_cont(value, 0.975), 1) AS hi FROM flat SEMI JOIN usable USING (rep) WHERE contains(rep, '|') GROUP BY ALL)
+SELECT band, scope, metric, round(value, 6) AS value, round(lo, 6) AS lo, round(hi, 6) AS hi,
+  ' [' || CAST(round(lo, 2) AS VARCHAR) || '-' || CAST(round(hi, 2) AS VARCHAR) || ']' AS ci
+FROM points JOIN ranges USING (band, scope, metric)""")
+def binary_by_band(t: Tables):
+    return rounded(report.binary_by_band(scored(t), "doc_id", "nmin"), "value", "lo", "hi").drop("used")
 
 
 # ---- coefficient reports -----------------------------------------------------------------------
