@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from chartloom.functions import labels
 from chartloom.operators import bootstrap, curves, features, models
+from chartloom.operators.split import with_split
 from chartloom.plans.registry import Tables, query
-from chartloom.plans.stages import NUMERIC, importance_report
+from chartloom.plans.stages import NUMERIC, binary_predictions, importance_report, linear_predictions, linear_report
 from chartloom.plans.texts import plain
+from chartloom.sources.checkpoints import materialise
 
 
 def training(t: Tables) -> tuple[DataFrame, list[str]]:
@@ -64,7 +66,7 @@ def logit_report(t: Tables):
     train, _ = training(t)
     prepared = models.prepare_classes(train)
     scored = models.probabilities(models.fit_logistic(prepared, 0.5).transform(prepared))
-    rows = scored.select("doc_id", "y", "zero", "one", "Expired").persist()
+    rows = materialise(scored.select("doc_id", "y", "zero", "one", "Expired"))
     threshold = curves.f1_threshold(rows, [], "y", "one").first()["threshold"]
     hard = F.when(F.col("Expired") == 1, 1).otherwise(models.tuned_label(F.col("one"), F.lit(threshold)))
     return bootstrap.perf(rows.withColumn("y_hard", hard), "doc_id").select(
@@ -77,3 +79,38 @@ def lasso_predictions(t: Tables):
     scored = models.lasso(models.BEST_ALPHA).fit(train).transform(train)
     ruled = labels.override_prediction(labels.clip(F.col("y_pred")), F.col("Expired"))
     return scored.select("doc_id", "mrs", F.round(ruled, 4).alias("y_pred"))
+
+
+def _split_training(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of the entity split; terms and ranges come from the training rows."""
+    docs = t.texts.join(t.labels, "doc_id").select(
+        "doc_id", plain().alias("Notes"), (F.col("quality") * 3 + F.col("toxic") * 2).alias("mrs"),
+        F.least(F.col("n_chars") / 20000, F.lit(1.0)).alias("Age_scaled"), (F.col("doc_id") % 2).alias("SexDSC"),
+        F.col("toxic").alias("Expired"), F.lit(0).alias("follow_up"))
+    docs = materialise(with_split(docs, "doc_id"))
+    train, test = docs.where("split = 'train'"), docs.where("split = 'test'")
+    vocabulary = features.fit_ngram_vocabulary(train, "Notes")
+    return (models.pack(features.vectorise(train, "Notes", vocabulary, NUMERIC)),
+            features.vectorise(test, "Notes", vocabulary, NUMERIC))
+
+
+@query()
+def linear_stage(t: Tables):
+    """Search on the training rows, refit with the best penalty, rules and report on the test rows."""
+    train, test = _split_training(t)
+    alpha = models.best_setting(models.search_alpha(train, "doc_id"))
+    _, scored = linear_predictions(train, test, None, ["doc_id"], alpha)
+    report = linear_report(materialise(scored.select("doc_id", "mrs", "y_pred")), "doc_id")
+    return report.select(F.lit(float(alpha)).alias("alpha"), *[F.round(c, 6).alias(c) for c in report.columns])
+
+
+@query()
+def binary_stage(t: Tables):
+    """The same for the two-class outcome: search, refit, threshold from training, report on the test rows."""
+    train, test = _split_training(t)
+    prepared = models.prepare_classes(train.withColumn("y", labels.dichotomise(F.col("mrs"))))
+    penalty = models.best_setting(models.search_penalty(prepared, "doc_id"))
+    _, _, scored = binary_predictions(train, test, None, ["doc_id"], penalty)
+    rows = materialise(scored.select("doc_id", "y", "zero", "one", "y_hard"))
+    return bootstrap.perf(rows, "doc_id").select(
+        F.lit(float(penalty)).alias("inverse_penalty"), "scope", "metric", *[F.round(c, 6).alias(c) for c in ("value", "lo", "hi")], "ci")

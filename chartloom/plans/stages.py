@@ -119,7 +119,7 @@ def binary_predictions(train: DataFrame, test: DataFrame, extractions: DataFrame
     return model, threshold, scored.withColumns({"y_hard": y_hard, "zero": zero, "one": one})
 
 
-def linear_report(scored: DataFrame, row_key: str, replicates: int = bootstrap.REPLICATES) -> DataFrame:
+def linear_report(scored: DataFrame, row_key: str | list[str], replicates: int = bootstrap.REPLICATES) -> DataFrame:
     """One row: RMSE and rank correlation, each with its interval."""
     rmse_ci = bootstrap.bootstrap_rmse(scored, row_key, "mrs", "y_pred", replicates=replicates)
     rho_ci = bootstrap.bootstrap_spearman(scored, row_key, "mrs", "y_pred", replicates=replicates)

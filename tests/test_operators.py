@@ -235,3 +235,25 @@ def test_logistic_optimality(spark):
     gradient = c * xi.T @ (weight * (1 / (1 + np.exp(-xi @ w)) - y))
     for wj, g in zip(w, gradient):
         assert (g == pytest.approx(-np.sign(wj), abs=0.05)) if wj else abs(g) <= 1.05
+
+
+def test_draws_are_independent(spark):
+    """Row seeds do not collide, and rows agree over the replicates no more than chance has it."""
+    from chartloom.functions.hashing import with_row_seeds
+    seeds = with_row_seeds(spark.range(200000), F.col("id"))
+    assert seeds.select("_row", "_row2").distinct().count() == 200000
+    assert seeds.select("_row").distinct().count() < 200000
+    drawn = bootstrap.replicate(spark.range(40).withColumn("x", F.lit(1)), "id", 2000)
+    table = {}
+    for r in drawn.collect():
+        table.setdefault(r.id, np.zeros(2000))[r.rep] = r.w
+    weights = np.array([table[i] for i in range(40)])
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.05
+    joint = np.corrcoef(weights)[np.triu_indices(40, 1)]
+    assert np.abs(joint).max() < 0.12
+
+
+def test_several_key_columns(spark):
+    df = make(spark, [(p, a, float(p), float(a)) for p in range(10) for a in range(5)], "p int, a int, t double, y double")
+    one = bootstrap.replicate(df, ["p", "a"], 50).groupBy("p", "rep").agg(F.countDistinct("w").alias("n"))
+    assert one.agg(F.max("n")).first()[0] > 1
