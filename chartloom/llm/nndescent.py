@@ -5,7 +5,7 @@ its ids the smallest `k` + 1 can be reported and are kept. The graph starts from
 (large cells are split at random) and improves by local joins: each node meets its nearest neighbours
 and a hashed sample of the nodes that count it among theirs, all pairs of that bounded set are compared,
 and pairs that improve a member's list go back to it. A search starts from a query's place in the graph
-(its own node, or sampled entry nodes) and repeatedly opens the best nodes not opened yet.
+(its own node) and some sampled entry nodes, and repeatedly opens the best nodes not opened yet.
 
 The index holds every row. It is approximate by design: recall against brute force is measured in the
 tests and given in the README.
@@ -31,6 +31,7 @@ TURNS = 3                 # local joins
 WIDTH = 64                # nodes a search keeps
 OPEN = 12                 # nodes a search opens at a time
 STEPS = 2
+ENTRIES = 32              # sampled nodes that every search knows, so that none ends with too few
 SEED = 42
 
 
@@ -202,12 +203,15 @@ def _judged(opened: DataFrame, graph: Graph, queries: DataFrame) -> DataFrame:
     return groups.join(queries, "q").select("q", "vec", "them").mapInArrow(score, "q long, nb long, score double")
 
 
-def search(graph: Graph, queries: DataFrame) -> DataFrame:
+def search(graph: Graph, queries: DataFrame, k: int) -> DataFrame:
     """(q, nb, score): about `WIDTH` best nodes of each query (q, vec, entry), found by greedy search."""
+    # a fixed number of rows
+    sampled = [r.node for r in graph.nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(max(ENTRIES, k + 1)).collect()]
     vectors = stage(queries.select("q", "vec"), "queries")
     near = graph.edges.select(F.col("node").alias("entry"), F.col("near.nb").alias("nbs"))
     found = queries.select("q", "entry").join(near, "entry").select("q", F.explode(F.concat(F.array("entry"), "nbs")).alias("nb"))
-    found = stage(_judged(found.distinct(), graph, vectors), "found")
+    known = vectors.select("q", F.array(*[F.lit(n) for n in sampled]).cast("array<bigint>").alias("sampled")).select("q", F.explode("sampled").alias("nb"))
+    found = stage(_judged(found.unionByName(known).distinct(), graph, vectors), "found")
     opened = queries.select("q", F.col("entry").alias("nb"))
     for _ in range(STEPS):
         rank = Window.partitionBy("q").orderBy(F.desc("score"), "nb")
@@ -227,7 +231,7 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector: str
     wanted = usable(df.where(queries), id_col, vector).distinct()
     placed = stage(wanted.join(graph.nodes, "vec").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "asked")
     asked = graph.nodes.join(placed.select(F.col("q").alias("node")).distinct(), "node", "left_semi")
-    found = search(graph, asked.select(F.col("node").alias("q"), "vec", F.col("node").alias("entry")))
+    found = search(graph, asked.select(F.col("node").alias("q"), "vec", F.col("node").alias("entry")), k)
     rows = found.join(graph.members.withColumnRenamed("node", "nb"), "nb").select("q", "vec_id", "score")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
