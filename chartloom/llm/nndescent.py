@@ -4,7 +4,8 @@ Equal vectors are one node, so a vector that a third of the rows share costs as
 its ids the smallest `k` + 1 can be reported and are kept. The graph starts from random-hyperplane cells
 (large cells are split at random) and improves by local joins: each node meets its nearest neighbours
 and a hashed sample of the nodes that count it among theirs, all pairs of that bounded set are compared,
-and pairs that improve a member's list go back to it. A search starts from a query's place in the graph
+and pairs that improve a member's list go back to it, until the lists hardly gain. What travels is one
+byte per component and a scale; the nodes a search keeps are scored again on the original vectors. A search starts from a query's place in the graph
 (its own node) and some sampled entry nodes, and repeatedly opens the best nodes not opened yet.
 
 The index holds every row. It is approximate by design: recall against brute force is measured in the
@@ -23,14 +24,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chartloom.llm.store import stage
 
-NEIGHBOURS = 24           # list length of the graph
-MEET = 12                 # nearest neighbours, and as many reverse ones, in a local join
-CELL = 96                 # nodes of a starting cell, about
-ROUNDS = 6                # starting cells per node
-TURNS = 3                 # local joins
-WIDTH = 64                # nodes a search keeps
-OPEN = 12                 # nodes a search opens at a time
-STEPS = 2
+NEIGHBOURS = 32           # list length of the graph
+MEET = 16                 # nearest neighbours, and as many reverse ones, in a local join
+CELL = 2_048              # nodes of a starting cell, about
+ROUNDS = 16               # starting cells per node
+FIRST = 8                 # neighbours a starting cell gives each of its nodes
+GAIN = 0.002              # local joins end when all lists together gain less than this share
+TURNS = 12                # and after so many at the latest
+WIDTH = 96                # nodes a search keeps
+OPEN = 16                 # nodes a search opens at a time
+STEPS = 3
+CODE = "code"
 ENTRIES = 32              # sampled nodes that every search knows, so that none ends with too few
 SEED = 42
 
@@ -57,7 +61,7 @@ def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 class Graph:
-    """nodes (node, vec), members (node, vec_id; the smallest ids), edges (node, near: [(score, nb)])."""
+    """nodes (node, vec, code), members (node, vec_id; the smallest ids), edges (node, near: [(score, nb)])."""
 
     def __init__(self, nodes: DataFrame, members: DataFrame, edges: DataFrame, kind: str):
         self.nodes, self.members, self.edges, self.kind = nodes, members, edges, kind
@@ -70,17 +74,33 @@ def nearest_lists(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def _top_pairs(ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, each: int):
-    """For every row its `each` best others above its floor: positions, ids, scores."""
-    scores = vectors @ vectors.T
-    np.fill_diagonal(scores, -np.inf)
-    n = min(each, len(ids) - 1)
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-    rows = np.repeat(np.arange(len(ids)), n)
-    values = scores[rows, best.ravel()]
-    keep = values > floor[rows]
-    return ids[rows[keep]], ids[best.ravel()[keep]], values[keep]
+    """For every row its `each` best others above its floor: ids, their ids, scores."""
+    n, parts = min(each, len(ids) - 1), []
+    for start in range(0, len(ids), 512):
+        scores = vectors[start:start + 512] @ vectors.T
+        at = np.arange(len(scores))
+        scores[at, at + start] = -np.inf
+        best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+        values, rows = np.take_along_axis(scores, best, axis=1).ravel(), np.repeat(at + start, n)
+        keep = values > floor[rows]
+        parts.append((ids[rows[keep]], ids[best.ravel()[keep]], values[keep].astype(np.float64)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def encode(vectors: np.ndarray) -> list[bytes]:
+    """One signed byte per component, behind the vector's scale."""
+    scale = np.maximum(np.abs(vectors).max(axis=1) / 127, np.finfo("<f4").tiny).astype("<f4")
+    codes = np.round(vectors / scale[:, None]).astype(np.int8)
+    return [s.tobytes() + c.tobytes() for s, c in zip(scale, codes)]
+
+
+def decode(values: list[bytes], kind: str) -> np.ndarray:
+    if not values:
+        return np.zeros((0, 1))
+    if kind != CODE:
+        return np.frombuffer(b"".join(values), kind).astype(np.float64).reshape(len(values), -1)
+    raw = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
 
 
 PAIR = "node long, nb long, score double"
@@ -99,20 +119,19 @@ def _groups(batch: pa.RecordBatch, kind: str):
     flat = lists.flatten()
     ids = flat.field("node").to_numpy(zero_copy_only=False)
     floors = flat.field("floor").to_numpy(zero_copy_only=False)
-    vectors = np.frombuffer(b"".join(flat.field("vec").to_pylist()), kind).astype(np.float64)
-    vectors = vectors.reshape(len(ids), -1) if len(ids) else vectors.reshape(0, 1)
+    vectors = decode(flat.field("vec").to_pylist(), kind)
     for i in range(batch.num_rows):
         span = slice(ends[i], ends[i + 1])
         yield i, ids[span], vectors[span], floors[span]
 
 
-def local_join(groups: DataFrame, kind: str, each: int) -> DataFrame:
+def local_join(groups: DataFrame, kind: str, each: int, rows: int = 256) -> DataFrame:
     """(node, nb, score) from all pairs inside each group's list `them`."""
     def meet(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
+            for start in range(0, whole.num_rows, rows):
                 parts = [_top_pairs(ids, vectors, floors, each)
-                         for _, ids, vectors, floors in _groups(whole.slice(start, 256), kind) if len(ids) > 1]
+                         for _, ids, vectors, floors in _groups(whole.slice(start, rows), kind) if len(ids) > 1]
                 if parts:
                     yield _pair_batch(parts)
     return groups.select("them").mapInArrow(meet, PAIR)
@@ -126,10 +145,9 @@ def cells(nodes: DataFrame, kind: str, n: int) -> DataFrame:
         planes = None
         for batch in batches:
             ids = batch.column("node").to_numpy()
-            x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), kind).astype(np.float64)
             if not len(ids):
                 continue
-            x = x.reshape(len(ids), -1)
+            x = decode(batch.column("vec").to_pylist(), kind)
             if planes is None:
                 planes = np.random.default_rng(SEED).standard_normal((x.shape[1], ROUNDS * bits))
             sides = (x @ planes > 0).reshape(len(ids), ROUNDS, bits)
@@ -139,7 +157,7 @@ def cells(nodes: DataFrame, kind: str, n: int) -> DataFrame:
                 [pa.array(codes.ravel(), pa.int64()), pa.array(np.repeat(ids, ROUNDS), pa.int64())], names=["code", "node"])
 
     coded = stage(nodes.mapInArrow(hash_planes, "code long, node long"), "cells")
-    parts = coded.groupBy("code").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    parts = coded.groupBy("code").agg(F.greatest(F.lit(1), F.round(F.count("*") / CELL)).cast("long").alias("parts"))
     return (coded.join(parts, "code")
             .select(F.xxhash64("code", F.pmod(F.xxhash64("node", "code"), F.col("parts"))).alias("cell"), "node")
             .join(nodes, "node"))
@@ -149,19 +167,37 @@ def build(df: DataFrame, id_col: str, vector: str, k: int) -> Graph:
     kind = "<f4" if df.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
     rows = stage(usable(df, id_col, vector).distinct(), "vectors")
     named = rows.groupBy("vec").agg(F.min("vec_id").alias("node"))
-    nodes = stage(named.select("node", "vec"), "nodes")
+
+    def shorten(batches):
+        for batch in batches:
+            codes = encode(decode(batch.column("vec").to_pylist(), kind)) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("vec"), pa.array(codes, pa.binary())],
+                                             names=["node", "vec", "code"])
+
+    nodes = stage(named.select("node", "vec").mapInArrow(shorten, "node long, vec binary, code binary"), "nodes")
+    coded = nodes.select("node", F.col("code").alias("vec"))
     order = Window.partitionBy("vec").orderBy("vec_id")
     first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    members = stage(first.join(nodes, "vec").select("node", "vec_id"), "members")
+    members = stage(first.join(nodes.select("node", "vec"), "vec").select("node", "vec_id"), "members")
     floor = F.lit(-np.inf).alias("floor")
-    start = (cells(nodes, kind, nodes.count()).groupBy("cell")
+    # a cell holds 1.5 * CELL nodes, about, however the vectors lie
+    start = (cells(coded, CODE, nodes.count()).groupBy("cell")
              .agg(F.collect_list(F.struct("node", "vec", floor)).alias("them")))
-    edges = stage(nearest_lists(local_join(start, kind, NEIGHBOURS // 2), NEIGHBOURS), "edges")
+    edges = stage(nearest_lists(local_join(start, CODE, FIRST, rows=1), NEIGHBOURS), "edges")
+    total = _total(edges)
     for turn in range(TURNS):
-        edges = stage(improve(nodes, edges, kind, turn), "edges")
+        edges = stage(improve(coded, edges, CODE, turn), "edges")
+        before, total = total, _total(edges)
+        if total - before <= GAIN * abs(total):
+            break
     return Graph(nodes, members, edges, kind)
 
 
+def _total(edges: DataFrame) -> float:
+    """Sum of all lists' scores."""
+    return edges.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda x, y: x + y["score"]))).first()[0] or 0.0
+
+
 def improve(nodes: DataFrame, edges: DataFrame, kind: str, turn: int) -> DataFrame:
     """One round: neighbours of a node, and nodes it is a neighbour of, meet each other."""
     ahead = edges.select("node", F.explode(F.slice("near", 1, MEET)).alias("e")).select("node", F.col("e.nb").alias("nb"))
@@ -179,39 +215,38 @@ def improve(nodes: DataFrame, edges: DataFrame, kind: str, turn: int) -> DataFra
     return nearest_lists(old.unionByName(fresh), NEIGHBOURS)
 
 
-def _judged(opened: DataFrame, graph: Graph, queries: DataFrame) -> DataFrame:
-    """(q, nb, score): exact scores of candidate nodes (q, nb); `queries` is (q, vec)."""
-    kind = graph.kind
-
+def _judged(opened: DataFrame, nodes: DataFrame, kind: str, queries: DataFrame) -> DataFrame:
+    """(q, nb, score): scores of candidate nodes (q, nb); `nodes` is (node, vec), `queries` (q, vec)."""
     def score(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                mine = [np.frombuffer(x, kind).astype(np.float64) for x in batch.column("vec").to_pylist()]
+                mine = decode(batch.column("vec").to_pylist(), kind)
                 qs, ids, values = [], [], []
                 for i, them, vectors, _ in _groups(batch, kind):
                     qs.append(np.full(len(them), batch.column("q")[i].as_py(), np.int64))
                     ids.append(them)
-                    values.append((vectors * mine[i]).sum(axis=1))
+                    values.append((vectors * mine[i]).sum(axis=1).astype(np.float64))
                 if qs:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(qs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(values))],
                         names=["q", "nb", "score"])
 
-    groups = (opened.join(graph.nodes.select(F.col("node").alias("nb"), "vec"), "nb").groupBy("q")
+    groups = (opened.join(nodes.select(F.col("node").alias("nb"), "vec"), "nb").groupBy("q")
               .agg(F.collect_list(F.struct(F.col("nb").alias("node"), "vec", F.lit(0.0).alias("floor"))).alias("them")))
     return groups.join(queries, "q").select("q", "vec", "them").mapInArrow(score, "q long, nb long, score double")
 
 
 def search(graph: Graph, queries: DataFrame, k: int) -> DataFrame:
-    """(q, nb, score): about `WIDTH` best nodes of each query (q, vec, entry), found by greedy search."""
+    """(q, nb, score): about `WIDTH` best nodes of each query (q, vec, code, entry), found by greedy search."""
     # a fixed number of rows
     sampled = [r.node for r in graph.nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(max(ENTRIES, k + 1)).collect()]
-    vectors = stage(queries.select("q", "vec"), "queries")
+    coded = graph.nodes.select("node", F.col("code").alias("vec"))
+    vectors = stage(queries.select("q", F.col("code").alias("vec")), "queries")
     near = graph.edges.select(F.col("node").alias("entry"), F.col("near.nb").alias("nbs"))
     found = queries.select("q", "entry").join(near, "entry").select("q", F.explode(F.concat(F.array("entry"), "nbs")).alias("nb"))
     known = vectors.select("q", F.array(*[F.lit(n) for n in sampled]).cast("array<bigint>").alias("sampled")).select("q", F.explode("sampled").alias("nb"))
-    found = stage(_judged(found.unionByName(known).distinct(), graph, vectors), "found")
+    found = stage(_judged(found.unionByName(known).distinct(), coded, CODE, vectors), "found")
     opened = queries.select("q", F.col("entry").alias("nb"))
     for _ in range(STEPS):
         rank = Window.partitionBy("q").orderBy(F.desc("score"), "nb")
@@ -219,19 +254,19 @@ def search(graph: Graph, queries: DataFrame, k: int) -> DataFrame:
         best = stage(best.select("q", "nb"), "opened")
         near = graph.edges.select(F.col("node").alias("nb"), F.col("near.nb").alias("nbs"))
         more = best.join(near, "nb").select("q", F.explode("nbs").alias("nb")).distinct().join(found, ["q", "nb"], "left_anti")
-        everything = found.unionByName(_judged(more, graph, vectors)).withColumn("n", F.row_number().over(rank))
+        everything = found.unionByName(_judged(more, coded, CODE, vectors)).withColumn("n", F.row_number().over(rank))
         found = stage(everything.where(F.col("n") <= WIDTH).drop("n"), "found")
         opened = opened.unionByName(best)
-    return found
+    return _judged(found.select("q", "nb"), graph.nodes.select("node", "vec"), graph.kind, queries.select("q", "vec"))
 
 
 def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """The `k` nearest rows found for every row where `queries` holds: query_id, rank, vec_id, score."""
     graph = build(df, id_col, vector, k)
     wanted = usable(df.where(queries), id_col, vector).distinct()
-    placed = stage(wanted.join(graph.nodes, "vec").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "asked")
+    placed = stage(wanted.join(graph.nodes.select("node", "vec"), "vec").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "asked")
     asked = graph.nodes.join(placed.select(F.col("q").alias("node")).distinct(), "node", "left_semi")
-    found = search(graph, asked.select(F.col("node").alias("q"), "vec", F.col("node").alias("entry")), k)
+    found = search(graph, asked.select(F.col("node").alias("q"), "vec", "code", F.col("node").alias("entry")), k)
     rows = found.join(graph.members.withColumnRenamed("node", "nb"), "nb").select("q", "vec_id", "score")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
