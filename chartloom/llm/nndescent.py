@@ -31,8 +31,8 @@ ROUNDS = 16               # starting cells per node
 FIRST = 8                 # neighbours a starting cell gives each of its nodes
 GAIN = 0.002              # local joins end when all lists together gain less than this share
 TURNS = 12                # and after so many at the latest
-WIDTH = 96                # nodes a search keeps
-OPEN = 16                 # nodes a search opens at a time
+WIDTH = 128               # nodes a search keeps
+OPEN = 24                 # nodes a search opens at a time
 STEPS = 3
 CODE = "code"
 ENTRIES = 32              # sampled nodes that every search knows, so that none ends with too few
