@@ -36,7 +36,7 @@ from chartloom.llm.store import (answer_chunks, chunk_store, ordered_planes, ord
 from chartloom.llm.words import LOWER, STEP, mix, views, word_hashes, word_spans
 
 LOW = 5
-CHUNK = 6 << 20
+CHUNK = 7 << 20
 PER_SHARD = 2_000_000
 END, BEGIN = np.uint64(0x5E4D), np.uint64(0xBE61)
 MESSAGE = "shard int, chunk long, keys binary, counts binary, singles array<long>"

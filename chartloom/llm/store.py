@@ -30,7 +30,7 @@ def new_path(spark: SparkSession, kind: str) -> str:
 def stage(df: DataFrame, kind: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, keeps column pruning."""
     path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
