@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from chartloom.llm.anchors import wrap
+from chartloom.llm.store import claim_worker
 
 # the pre-tokenizer's pattern: fixed, part of the public vocabulary's definition
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -194,6 +195,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        claim_worker("pieces", coder.cache_clear)
         bpe = coder(path)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from chartloom.llm.components import components
-from chartloom.llm.store import stage
+from chartloom.llm.store import claim_worker, stage
 from chartloom.llm.words import LOWER, STEP, mix, rolling, views, word_hashes, word_spans
 
 SHINGLE = 5
@@ -126,6 +126,7 @@ def sketches(df: DataFrame, id_col: str, text: str) -> DataFrame:
     id_type = df.schema[id_col].dataType.simpleString()
 
     def sketch(batches):
+        claim_worker("sketch")
         for batch in batches:
             nodes, sizes, regs = [], [], []
             for _, lowered, prints in shingle_sets(batch.column("text")):
@@ -239,6 +240,8 @@ def blocked_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFra
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     def confirm(batches):
+        claim_worker("sketch")
+
         @lru_cache(maxsize=256)
         def prints(text: str) -> np.ndarray:
             return next(shingle_sets(pa.array([text], pa.string())))[2]

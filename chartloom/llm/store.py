@@ -22,6 +22,18 @@ CHUNK_BYTES = 16 << 20
 CODEC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def claim_worker(name: str, clear: Callable[[], object] | None = None) -> None:
+    """Python workers outlive their tasks and serve several operators: whoever starts in one empties the
+    tables that others have left in it. `clear` empties the caller's own, later."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    if clear:
+        _held[name] = clear
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     """An unused path in the shared folder (`spark.checkpoint.dir`)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -106,6 +118,7 @@ def answer_chunks(chunks: DataFrame, answers: DataFrame, work: Callable, schema:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows:
+            claim_worker("chunks")
             found = dict(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist()))
             chunk = left.column("chunk")[0].as_py()
             for message in work(chunk, unpack_message(left.column("blob")[0].as_buffer()), found):

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from chartloom.llm.anchors import wrap
-from chartloom.llm.store import stage
+from chartloom.llm.store import claim_worker, stage
 
 SAMPLE_ROWS = 6_000
 TERMS = 5_000
@@ -42,7 +42,7 @@ LEAST_ROWS = 4
 HEADS = (4, 5, 6)
 THRESHOLD = 0.7
 PRIOR = (-4.0, 2.0, 1.0, 1.0)
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SEEDS = {
@@ -207,6 +207,7 @@ def learn(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     terms = {r.term: float(np.log(r.lift)) for r in top}
 
     def measure(batches):
+        claim_worker("lexicon", _lexicon.cache_clear)
         lexicon = _lexicon(tuple(sorted(terms.items())))
         for batch in batches:
             found = [features(t, lexicon) for t in batch.column("text").to_pylist()]
@@ -229,6 +230,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     arrow, terms = to_arrow_schema(schema), tuple(sorted(model.terms.items()))
 
     def run(batches):
+        claim_worker("lexicon", _lexicon.cache_clear)
         lexicon = _lexicon(terms)
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):

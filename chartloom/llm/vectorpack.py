@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from chartloom.llm.bpe import byte_letters
+from chartloom.llm.store import claim_worker
 from chartloom.llm.words import views
 
 TOKENS = 4096
@@ -31,7 +32,7 @@ SEGMENTS = 512
 LOSS = 4096
 POOL = 256
 END = 2
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 700_000
 LONGEST_KNOWN = 64
 # how the vocabulary file cuts lower-cased text: fixed
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -195,6 +196,7 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
     def run(batches):
         from pyspark import TaskContext
         sequence = TaskContext.get().partitionId() << 32
+        claim_worker("words", word_ids.cache_clear)
         encoder, packer, held, count = word_ids(path), Packer(tokens, segments, loss), {}, 0
         kind, rows = None, []
 
