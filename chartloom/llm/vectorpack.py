@@ -6,8 +6,8 @@ example whose (share of each limit) has the largest dot product with what the se
 example heavy in what is still free goes first. Where no example fits whole, the one with the largest
 dot product is cut to what is left; a whole sequence's worth of a long example is cut off beforehand.
 
-Every task packs its own rows from a pool of `POOL` examples, so nothing is shuffled and no row count
-matters. What is left in a task's last sequence is cut at powers of two, which need no padding.
+Every task packs its own rows from a pool, so nothing is shuffled and no row count matters. The pool has
+`POOL` examples, and more of short ones, until it holds a sequence's tokens or segments. What is left in a task's last sequence is cut at powers of two, which need no padding.
 
 Defined results: a null text is empty, its only token the end; rows repeat freely; no rows give none.
 """
@@ -110,7 +110,7 @@ class Packer:
         self.limits = np.array([tokens, segments, loss], dtype=np.int64)
         self.pool = pool
         self.items: list[tuple[int, int, int, int]] = []      # example, start, tokens left, first loss-bearing place
-        self.sizes = np.zeros((2 * pool + 2, 3), dtype=np.int64)
+        self.sizes = np.zeros((2 * max(pool, segments) + 2, 3), dtype=np.int64)
 
     def _loss(self, start: int, length: int, first: int) -> int:
         return max(0, start + length - max(start, first))
@@ -132,9 +132,13 @@ class Packer:
             start += int(self.limits[0])
         if n > start:
             self._put(example, start, n - start, first)
-        while len(self.items) >= self.pool:
+        while len(self.items) >= self.pool and self._enough():
             yield self._fill()
 
+    def _enough(self) -> bool:
+        """Whether the pool holds a sequence's tokens or segments."""
+        return len(self.items) >= self.limits[1] or self.sizes[:len(self.items), 0].sum() >= self.limits[0]
+
     def rest(self) -> Iterator[list[tuple[int, int, int]]]:
         while self.items:
             pieces = self._fill()

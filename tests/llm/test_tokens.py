@@ -71,6 +71,17 @@ def test_limits_hold_and_nothing_is_lost():
         assert all(a + b == c for (a, b), (c, _) in zip(ordered, ordered[1:]))
 
 
+def test_short_texts_fill_sequences():
+    for n, tokens, segments in ((10, 4096, None), (5, None, 512)):
+        packer, out = vectorpack.Packer(), []
+        for e in range(5000):
+            out += packer.give(e, n)
+        assert out and {sum(p[2] for p in s) for s in out} == ({tokens} if tokens else {n * segments})
+        assert segments is None or {len(s) for s in out} == {segments}
+        out += packer.rest()
+        assert sum(p[2] for s in out for p in s) == 5000 * n
+
+
 def test_packed_table(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "Gamma,", "des", "été"], k=rng.choice([0, 3, 50, 900, 9000])))) for i in range(80)]
