@@ -318,6 +318,11 @@ def linked_nodes(df: DataFrame, text: str, nodes: DataFrame, percent: int) -> Da
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Per row: doc_id, content, n_shingles, component_id, kept (the row that names its component)."""
+    return near_groups(df, id_col, text, percent).drop("component")
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """`near_duplicates` and component: a binary that tells components apart where ids are null or repeat."""
     known = stage(sketches(df, id_col, text), "sketches")
     grouped = known.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
@@ -325,8 +330,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     roots = linked_nodes(df, text, nodes, percent)
     placed = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(names, "root").select("node", "component_id")
+    named = placed.join(names, "root").select("node", "root", "component_id")
     out = known.join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "content", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"),
+                      F.coalesce("root", F.col("content").cast("string").cast("binary")).alias("component"))

@@ -4,7 +4,8 @@ Every stage takes what its predecessor kept, with whatever columns it has, and i
 that follow: toxic rows go, of equal texts one row stays, of each near-duplicate group one row stays,
 repeated passages are cut out of the texts, and what is left is packed.
 
-Rows are told apart by id and text, so a repeated id loses no other row. Null and empty texts are clean,
+Rows are told apart by id and text, so a repeated id loses no other row; of rows that repeat both, and of
+several rows that would stay for one group (repeated or null ids), one stays. Null and empty texts are clean,
 equal to each other and to nothing else, and pack as an end token.
 """
 
@@ -24,11 +25,25 @@ def _again(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     return found.select(*(F.col(text).alias("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` less the rows (doc_id, content); content is the hash of the text as it is."""
-    gone = dropped.select(F.col("doc_id").alias("_id"), "content")
-    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["content"])
-    return docs.join(gone, same, "left_anti")
+def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """`docs` with (left_semi) or without (left_anti) the rows (doc_id, content); content is the hash of the text as it is."""
+    rows = rows.select(F.col("doc_id").alias("_id"), "content")
+    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["content"]), how)
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame, group: str) -> DataFrame:
+    """`docs` with exactly one row of each group that `found` (doc_id, content, kept, `group`) tells."""
+    found = store.stage(found.select("doc_id", "content", "kept", F.col(group).alias("group")), "decisions")
+    pairs = found.where("kept").groupBy("group", "doc_id", "content").agg(F.count("*").alias("n"))
+    several = pairs.groupBy("group").agg(F.min("content").alias("stays"), F.sum("n").alias("rows")).where("rows > 1")
+    # kept rows of groups that keep several: none, unless ids are null or repeat
+    surplus = store.stage(pairs.join(several, "group").select("doc_id", "content", "n", (F.col("content") == F.col("stays")).alias("stays")), "surplus")
+    gone = found.where("NOT kept").select("doc_id", "content")
+    if surplus.isEmpty():
+        return _among(docs, gone, "left_anti")
+    rest = _among(docs, gone.unionByName(surplus.where("NOT stays").select("doc_id", "content")), "left_anti")
+    again = surplus.where("stays AND n > 1")
+    return _among(rest, again, "left_anti").unionByName(_among(rest, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +53,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, cuckoo.exact_duplicates(docs).where("NOT kept"))
+    return _one_of_each(docs, cuckoo.exact_duplicates(docs), "text_sha256")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, hyperminhash.near_duplicates(docs).where("NOT kept"))
+    return _one_of_each(docs, hyperminhash.near_groups(docs), "component")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,26 @@ def test_entry_has_all(spark):
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
+def test_repeated_rows_leave_one(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)]
+    one, two, three, four, five = (" ".join(rng.choices(words, k=60)) for _ in range(5))
+    rows = [(1, one), (1, one), (None, two), (None, two), (None, two.replace(" ", "  ")), (3, three), (3, three + " more"),
+            (None, four), (None, four + " more"), (5, five), (5, "else"), (6, "!"), (6, "!"), (7, "?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    equal = corpus_pipeline.store.stage(corpus_pipeline.drop_equal(spark, docs, ""), "equal")
+    got = sorted((str(r.doc_id), norm(r.text)) for r in equal.collect())
+    assert got == sorted({(str(i), norm(t)) for i, t in rows})
+    near = corpus_pipeline.store.stage(corpus_pipeline.drop_near(spark, equal, ""), "near")
+    left = [(r.doc_id, norm(r.text)) for r in near.collect()]
+    assert sorted((str(i), t.removesuffix(" more")) for i, t in left) == sorted(
+        [("1", one), ("None", two), ("3", three), ("None", four), ("5", five), ("5", "else"), ("6", "!"), ("7", "?")])
+    whole = corpus_pipeline.drop_near(spark, docs, "").collect()                  # also where equal rows reach it
+    assert sorted(str(r.doc_id) for r in whole) == ["1", "3", "5", "5", "6", "7", "None", "None"]
+    cut = corpus_pipeline.cut_repeats(spark, near, "").collect()
+    assert sorted((str(r.doc_id), norm(r.text)) for r in cut) == sorted((str(i), t) for i, t in left)
+
+
 def test_stages_like_plain_python(spark, tmp_path):
     rng = random.Random(8)
     words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)]
