@@ -4,9 +4,11 @@ Equal vectors are one node, so a vector that a third of the rows share costs as
 its ids the smallest `k` + 1 can be reported and are kept. The graph starts from random-hyperplane cells
 (large cells are split at random) and improves by local joins: each node meets its nearest neighbours
 and a hashed sample of the nodes that count it among theirs, all pairs of that bounded set are compared,
-and pairs that improve a member's list go back to it, until the lists hardly gain. What travels is one
-byte per component and a scale; the nodes a search keeps are scored again on the original vectors. A search starts from a query's place in the graph
-(its own node) and some sampled entry nodes, and repeatedly opens the best nodes not opened yet.
+and pairs that improve a member's list go back to it, until hardly an entry of the lists changes. What
+travels is one byte per component and a scale; the nodes a search keeps are scored again on the original
+vectors. A search starts from a query's place in the graph (its own node) and some sampled entry nodes, and
+opens the best nodes not opened yet until all `WIDTH` best nodes it knows are opened: then no step can
+change its result.
 
 The index holds every row. It is approximate by design: recall against brute force is measured in the
 tests and given in the README.
@@ -18,6 +20,8 @@ that repeats id and vector counts once; fewer than `k` candidates are all return
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,11 +33,9 @@ MEET = 16                 # nearest neighbours, and as many reverse ones, in a l
 CELL = 2_048              # nodes of a starting cell, about
 ROUNDS = 16               # starting cells per node
 FIRST = 8                 # neighbours a starting cell gives each of its nodes
-GAIN = 0.002              # local joins end when all lists together gain less than this share
-TURNS = 12                # and after so many at the latest
-WIDTH = 128               # nodes a search keeps
-OPEN = 24                 # nodes a search opens at a time
-STEPS = 3
+CHANGED = 0.001           # local joins end when less than this share of all list entries is new
+WIDTH = 256               # nodes a search keeps
+OPEN = 32                 # nodes a search opens at a time
 CODE = "code"
 ENTRIES = 32              # sampled nodes that every search knows, so that none ends with too few
 SEED = 42
@@ -69,8 +71,10 @@ class Graph:
 
 def nearest_lists(candidates: DataFrame, k: int) -> DataFrame:
     """(node, near) from (node, nb, score): the k best, each once."""
-    return candidates.groupBy("node").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct("score", "nb")), asc=False), 1, k).alias("near"))
+    # a pair's score differs in its last bits between groups
+    once = candidates.repartition("node").groupBy("node", "nb").agg(F.max("score").alias("score"))
+    return once.groupBy("node").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("score", "nb")), asc=False), 1, k).alias("near"))
 
 
 def _top_pairs(ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, each: int):
@@ -184,18 +188,20 @@ def build(df: DataFrame, id_col: str, vector: str, k: int) -> Graph:
     start = (cells(coded, CODE, nodes.count()).groupBy("cell")
              .agg(F.collect_list(F.struct("node", "vec", floor)).alias("them")))
     edges = stage(nearest_lists(local_join(start, CODE, FIRST, rows=1), NEIGHBOURS), "edges")
-    total = _total(edges)
-    for turn in range(TURNS):
-        edges = stage(improve(coded, edges, CODE, turn), "edges")
-        before, total = total, _total(edges)
-        if total - before <= GAIN * abs(total):
-            break
+    turn, share = 0, 1.0
+    while share >= CHANGED:
+        before, edges = edges, stage(improve(coded, edges, CODE, turn), "edges")
+        turn, share = turn + 1, _changed(before, edges)
     return Graph(nodes, members, edges, kind)
 
 
-def _total(edges: DataFrame) -> float:
-    """Sum of all lists' scores."""
-    return edges.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda x, y: x + y["score"]))).first()[0] or 0.0
+def _changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the list entries of `after` that `before` does not have."""
+    old = before.select("node", F.col("near.nb").alias("old"))
+    new = after.select("node", F.col("near.nb").alias("new")).join(old, "node", "left")
+    fresh = F.size(F.array_except("new", F.coalesce("old", F.array().cast("array<bigint>"))))
+    row = new.agg(F.sum(fresh), F.sum(F.size("new"))).first()
+    return row[0] / row[1] if row[1] else 0.0
 
 
 def improve(nodes: DataFrame, edges: DataFrame, kind: str, turn: int) -> DataFrame:
@@ -238,7 +244,7 @@ def _judged(opened: DataFrame, nodes: DataFrame, kind: str, queries: DataFrame)
 
 
 def search(graph: Graph, queries: DataFrame, k: int) -> DataFrame:
-    """(q, nb, score): about `WIDTH` best nodes of each query (q, vec, code, entry), found by greedy search."""
+    """(q, nb, score): the `WIDTH` best nodes of each query (q, vec, code, entry), found by greedy search."""
     # a fixed number of rows
     sampled = [r.node for r in graph.nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(max(ENTRIES, k + 1)).collect()]
     coded = graph.nodes.select("node", F.col("code").alias("vec"))
@@ -247,17 +253,28 @@ def search(graph: Graph, queries: DataFrame, k: int) -> DataFrame:
     found = queries.select("q", "entry").join(near, "entry").select("q", F.explode(F.concat(F.array("entry"), "nbs")).alias("nb"))
     known = vectors.select("q", F.array(*[F.lit(n) for n in sampled]).cast("array<bigint>").alias("sampled")).select("q", F.explode("sampled").alias("nb"))
     found = stage(_judged(found.unionByName(known).distinct(), coded, CODE, vectors), "found")
-    opened = queries.select("q", F.col("entry").alias("nb"))
-    for _ in range(STEPS):
-        rank = Window.partitionBy("q").orderBy(F.desc("score"), "nb")
-        best = found.join(opened, ["q", "nb"], "left_anti").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= OPEN)
+    entries = queries.select("q", F.col("entry").alias("nb"), F.lit(True).alias("opened"))
+    found = stage(found.join(entries, ["q", "nb"], "left").withColumn("opened", F.coalesce("opened", F.lit(False))), "found")
+    near = graph.edges.select(F.col("node").alias("nb"), F.col("near.nb").alias("nbs"))
+    best_first = Window.partitionBy("q").orderBy(F.desc("score"), "nb")
+    settled = []
+    while True:
+        best = found.where("NOT opened").withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= OPEN)
         best = stage(best.select("q", "nb"), "opened")
-        near = graph.edges.select(F.col("node").alias("nb"), F.col("near.nb").alias("nbs"))
+        going = best.select("q").distinct()
+        settled.append(found.join(going, "q", "left_anti").select("q", "nb"))
+        if best.isEmpty():
+            break
+        found = found.join(going, "q", "left_semi")
         more = best.join(near, "nb").select("q", F.explode("nbs").alias("nb")).distinct().join(found, ["q", "nb"], "left_anti")
-        everything = found.unionByName(_judged(more, coded, CODE, vectors)).withColumn("n", F.row_number().over(rank))
+        marked = found.join(best.withColumn("now", F.lit(True)), ["q", "nb"], "left").select(
+            "q", "nb", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
+        everything = marked.unionByName(_judged(more, coded, CODE, vectors).withColumn("opened", F.lit(False)))
+        everything = everything.withColumn("n", F.row_number().over(best_first))
+        # a node that falls out comes back only behind `WIDTH` better ones
         found = stage(everything.where(F.col("n") <= WIDTH).drop("n"), "found")
-        opened = opened.unionByName(best)
-    return _judged(found.select("q", "nb"), graph.nodes.select("node", "vec"), graph.kind, queries.select("q", "vec"))
+    kept = reduce(DataFrame.unionByName, settled)
+    return _judged(kept, graph.nodes.select("node", "vec"), graph.kind, queries.select("q", "vec"))
 
 
 def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
