@@ -144,3 +144,42 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chartloom.llm.warc import archive_round_trip
     read = archive_round_trip(table(spark, sf_dir, "pages"), revisit_from=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+      100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM t LEFT JOIN l USING (doc_id)),
+f AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+o AS (SELECT string_agg(x, '' ORDER BY p) AS filter_order, list(x ORDER BY p) AS o FROM (
+      SELECT i, unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([i % 5, i // 5 % 5, i // 25 % 5, i // 125 % 5, i // 625]) AS p FROM range(3125) r(i))
+      GROUP BY i HAVING count(DISTINCT p) = 5),
+m AS (SELECT f.*, filter_order, list_transform(o, lambda x: fails[ascii(x) - 64]) AS bad FROM f, o),
+k AS (SELECT *, unnest(range(1, 6)) AS step, coalesce(list_position(bad, true), 0) AS gone FROM m),
+s AS (SELECT part, filter_order, step::INTEGER AS step,
+      coalesce(sum(n) FILTER (gone = 0 OR gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (bad[step] AND gone < step), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (bad[step] AND len(list_filter(bad, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+      FROM k GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)))::BIGINT AS shapley FROM s
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.filteraudit import audit, failure_counts
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return audit(failure_counts(table(spark, sf_dir, "documents"), labels, "lang"))
+
+
+@query()
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.mixture import taken
+    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chartloom.llm.resampling import resample
+    drawn = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("rest.doc_id", "n_features", "weight", "score", "rank")
