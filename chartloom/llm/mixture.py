@@ -210,8 +210,9 @@ def mix_texts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int =
     sources = plan(documents, weights, block)
     table = source_table(documents, sources)
     parts = pieces(placed(documents, table), block, texts=True)
-    filled_ = slots(docs.sparkSession, sources, shard, seed).join(parts, ["no", "block"])
-    return filled_.join(table.select("no", "source"), "no").select(
+    # sorted on both sides: the few rows that slots come from say nothing of how many they are
+    found = slots(docs.sparkSession, sources, shard, seed).hint("merge").join(parts, ["no", "block"])
+    return found.join(table.select("no", "source"), "no").select(
         "shard", "slot", "source", "block", "offset", "doc_id", "at", "n_words", "text")
 
 
@@ -221,7 +222,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOC
     sources = plan(documents, weights, block)
     table = source_table(documents, sources)
     times = slots(docs.sparkSession, sources, shard, seed).groupBy("no", "block").agg(F.count("*").alias("times"))
-    met = pieces(placed(documents, table), block).join(times, ["no", "block"], "left")
+    met = pieces(placed(documents, table), block).join(times.hint("merge"), ["no", "block"], "left")
     # a document is the place where it starts in its source
     sums = met.groupBy("no", "start", "doc_id", "size").agg(F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken"))
     about = table.select("no", "source", "source_size", "target")
