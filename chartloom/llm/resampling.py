@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import itemgetter
@@ -88,26 +89,26 @@ def scan(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, CRC and length of every word in folded texts, in order, read off an automaton of their distinct words."""
     import ahocorasick
     whole = f" {BETWEEN.join(t.decode('latin-1') for t in texts)} "       # a character a byte
-    long: list[bytes] = []
+    long: list[str] = []
 
     def token(found: re.Match) -> str:
-        long.append(found[0].encode("latin-1"))
+        long.append(found[0])
         return f"\0{len(long) - 1}"
-    distinct = set(whole.split(" ")) - {""}
-    if max(map(len, distinct), default=0) > LONGEST:
+    # in the order of their first places, so that what is frequent stands first in the automaton's nodes
+    distinct = dict.fromkeys(whole.split(" "))
+    if max(map(len, distinct)) > LONGEST:
         whole = LONG.sub(token, whole)
-        distinct = set(whole.split(" ")) - {""}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    payloads = []
-    for number, word in enumerate(distinct):
-        automaton.add_word(f" {word} ", number)
-        spelled = b"" if word == "\n" else long[int(word[1:])] if word[0] == "\0" else word.encode("latin-1")
-        payloads.append((zlib.crc32(spelled), len(spelled)))
-    if not payloads:
+        distinct = dict.fromkeys(whole.split(" "))
+    distinct.pop("", None)
+    if not distinct:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    deque(map(automaton.add_word, [f" {w} " for w in distinct], range(len(distinct))), maxlen=0)
     automaton.make_automaton()
+    spelled = [b"" if w == "\n" else (long[int(w[1:])] if w[0] == "\0" else w).encode("latin-1") for w in distinct]
+    crcs = np.fromiter(map(zlib.crc32, spelled), np.uint32, len(spelled))
+    lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
     emitted = np.fromiter(map(itemgetter(1), automaton.iter(whole)), dtype=np.int64)
-    crcs, lengths = np.array([p[0] for p in payloads], dtype=np.uint32), np.array([p[1] for p in payloads], dtype=np.int64)
     crc, length = crcs[emitted], lengths[emitted]
     words = length > 0                                                    # the mark between documents has none
     return np.cumsum(~words)[words], crc[words], length[words]
