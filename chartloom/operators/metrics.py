@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chartloom.operators.ordered import average_ranks, range_bounds
+from chartloom.operators.ordered import range_bounds, with_average_rank
 
 
 def rmse_of(truth: Column, prediction: Column, weight: Column | None = None) -> Column:
@@ -16,20 +16,21 @@ def spearman(df: DataFrame, keys: list[str], truth: str, prediction: str, weight
              bounds: tuple[list[float], list[float]] | None = None) -> DataFrame:
     """Rank correlation with averaged ties per key; NaN where one side is constant.
 
-    Equal pairs are counted first. Ranks are centred on their known mean, so that sums of
-    squares stay small for any number of rows.
+    Equal pairs are counted first. One scan ranks the predictions; per true value what their centred ranks
+    sum to is all that the scan over the true values needs, so a scale of seven values is as good as any.
     """
     w = F.col(weight) if weight else F.lit(1)
     pairs = df.groupBy(*keys, truth, prediction).agg(F.sum(w).alias("w")).where("w > 0")
     bounds_t, bounds_p = bounds or (range_bounds(df, truth), range_bounds(df, prediction))
-    ranks_t = average_ranks(pairs, keys, truth, "w", "rank_t", bounds_t)
-    ranks_p = average_ranks(pairs, keys, prediction, "w", "rank_p", bounds_p)
-    totals = pairs.groupBy(*keys).agg(((F.sum("w") + 1) / 2.0).alias("mid"))
-    ranked = pairs.join(ranks_t, [*keys, truth]).join(ranks_p, [*keys, prediction])
-    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("mid", totals.scalar())
-    t, p = F.col("rank_t") - F.col("mid"), F.col("rank_p") - F.col("mid")
-    spread = F.sqrt(F.sum(F.col("w") * t * t)) * F.sqrt(F.sum(F.col("w") * p * p))
-    return ranked.groupBy(*keys).agg(F.when(spread > 0, F.sum(F.col("w") * t * p) / spread).otherwise(F.lit(float("nan"))).alias("spearman"))
+    ranked = with_average_rank(pairs, keys, prediction, "w", "_p", bounds_p)
+    # centred on the known mean: sums of squares stay small for any number of rows
+    p = F.col("_p") - (F.col("_p_all") + 1) / 2.0
+    per_truth = ranked.groupBy(*keys, truth).agg(
+        F.sum("w").alias("w"), F.sum(F.col("w") * p).alias("_wp"), F.sum(F.col("w") * p * p).alias("_wpp"))
+    per_truth = with_average_rank(per_truth, keys, truth, "w", "_t", bounds_t)
+    t = F.col("_t") - (F.col("_t_all") + 1) / 2.0
+    spread = F.sqrt(F.sum(F.col("w") * t * t)) * F.sqrt(F.sum("_wpp"))
+    return per_truth.groupBy(*keys).agg(F.when(spread > 0, F.sum(F.col("_wp") * t) / spread).otherwise(F.lit(float("nan"))).alias("spearman"))
 
 
 def count_cells(df: DataFrame, keys: list[str], truth: str, predicted: str, weight: str | None = None,

@@ -15,6 +15,8 @@ def range_bounds(df: DataFrame, order: str) -> list[float]:
     """Cut points from Spark's quantile sketch: as many ranges as the session has shuffle partitions,
     which is what one sizes to the data. One number per range reaches the driver."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges < 2:
+        return []
     values = df.select(F.col(order).cast("double").alias("v"))
     return sorted(set(values.approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
 
@@ -100,13 +102,26 @@ def positions(df: DataFrame, order: str, keys: list[str] = (), out: str = "posit
             .withColumnRenamed("all__each", f"{out}_count").drop("_each", "cum__each"))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str, out: str,
-                  bounds: list[float] | None = None) -> DataFrame:
-    """(keys, value) -> rank with ties averaged; `weight` is how often each row counts."""
-    tied = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    scan = ordered_scan(tied, keys, value, sums=["_w"], bounds=bounds)
-    return scan.select(*keys, value,
-                       (F.col("cum__w") - F.col("_w") + (F.col("_w") + 1) / 2.0).alias(out))
+def with_average_rank(df: DataFrame, keys: list[str], value: str, weight: str, out: str,
+                      bounds: list[float] | None = None) -> DataFrame:
+    """Add the rank of `value` per key with ties averaged, each row counting `weight` times, and the key's
+    total weight as `<out>_all`. The rank is carried on by the rows themselves: nothing is joined on values."""
+    if bounds is None:
+        bounds = range_bounds(df, value)
+    ranged = with_range(df, value, bounds, "_range")
+    # both windows live in one partitioning and one sort
+    part = Window.partitionBy(*keys, "_range").orderBy(value)
+    until = F.sum(weight).over(part.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tied = F.sum(weight).over(Window.partitionBy(*keys, "_range", value))
+    inside = ranged.withColumns({"_until": until, "_tied": tied})
+    across = Window.partitionBy(*keys).orderBy("_range")          # one row per key and range
+    carried = ranged.groupBy(*keys, "_range").agg(F.sum(weight).alias("_sum")).select(
+        *keys, "_range", F.coalesce(F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"{out}_all"))
+    if not keys:
+        carried = F.broadcast(carried)
+    rank = F.col("_before") + F.col("_until") - F.col("_tied") + (F.col("_tied") + 1) / 2.0
+    return inside.join(carried, [*keys, "_range"]).select(*df.columns, rank.alias(out), f"{out}_all")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:

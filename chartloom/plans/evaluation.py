@@ -342,26 +342,58 @@ def metrics_by_band(t: Tables):
     return rounded(out, "rmse", "spearman", "rmse_lo", "rmse_hi", "spearman_lo", "spearman_hi")
 
 
-# a band, and a band's replicate, are one key: both are reported from one set of curves
-@query(f"""
-WITH {SCORED_SQL}, banded AS (SELECT b.band, s.* FROM scored s JOIN {BANDS_SQL} ON s.nmin > b.above AND s.nmin <= b.upto),
-{replicate_sql('banded', 1, name='band_reps')},
-banded_once AS (SELECT *, 0 AS rep, 1 AS w FROM banded),
-reps AS (SELECT * EXCLUDE (band, rep, w), band AS rep, 1 AS w FROM banded_once
-  UNION ALL SELECT * EXCLUDE (band, rep, w), band || '|' || rep AS rep, w FROM band_reps),
+# a band, and a band's replicate, are one number: both are reported from one set of curves. Rows are drawn once,
+# whatever bands they are in, and rows with equal scores are one weight before the curves
+BAND_CODES = "(VALUES (0, '0', -1, 0), (2000, '(0,7]', 0, 7), (4000, '(7,35]', 7, 35), (6000, '>35', 35, 1000000), (8000, '>7', 7, 1000000)) AS b(code, band, above, upto)"
+
+
+def by_band_sql(codes: str, rows: str = "scored") -> str:
+    return f"""{replicate_sql(rows, 1, name='drawn')},
+every AS (SELECT nmin, y, zero, one, y_hard, rep + 1 AS rep, w FROM drawn UNION ALL SELECT nmin, y, zero, one, y_hard, 0, 1 FROM {rows}),
+reps AS (SELECT code + rep AS rep, y, zero, one, y_hard, CAST(sum(w) AS BIGINT) AS w FROM every JOIN {codes} ON nmin > above AND nmin <= upto GROUP BY ALL),
 weighted AS (SELECT rep, w, '0' AS scope, 1 - y AS truth, zero AS score FROM reps UNION ALL SELECT rep, w, '1', y, one FROM reps
   UNION ALL SELECT rep, w, 'micro', 1 - y, zero FROM reps UNION ALL SELECT rep, w, 'micro', y, one FROM reps), {CURVE_SQL},
 {values_sql('reps')}, usable AS (SELECT rep FROM reps GROUP BY rep HAVING min(y) < max(y)),
-points AS (SELECT rep AS band, scope, metric, value FROM flat WHERE NOT contains(rep, '|')),
-ranges AS (SELECT split_part(rep, '|', 1) AS band, scope, metric, greatest(quantile_cont(value, 0.025), 0) AS lo,
-  least(quantile_cont(value, 0.975), 1) AS hi FROM flat SEMI JOIN usable USING (rep) WHERE contains(rep, '|') GROUP BY ALL)
-SELECT band, scope, metric, round(value, 6) AS value, round(lo, 6) AS lo, round(hi, 6) AS hi,
-  ' [' || CAST(round(lo, 2) AS VARCHAR) || '-' || CAST(round(hi, 2) AS VARCHAR) || ']' AS ci
+points AS (SELECT band, scope, metric, value FROM flat JOIN {codes} ON rep = code),
+ranges AS (SELECT band, scope, metric, greatest(quantile_cont(value, 0.025), 0) AS lo, least(quantile_cont(value, 0.975), 1) AS hi
+  FROM flat SEMI JOIN usable USING (rep) JOIN {codes} ON rep > code AND rep <= code + {bootstrap.REPLICATES} GROUP BY ALL)"""
+
+
+def ci_sql(lo: str = "lo", hi: str = "hi") -> str:
+    return f"' [' || CAST(round({lo}, 2) AS VARCHAR) || '-' || CAST(round({hi}, 2) AS VARCHAR) || ']'"
+
+
+@query(f"""
+WITH {SCORED_SQL}, {by_band_sql(BAND_CODES)}
+SELECT band, scope, metric, round(value, 6) AS value, round(lo, 6) AS lo, round(hi, 6) AS hi, {ci_sql()} AS ci
 FROM points JOIN ranges USING (band, scope, metric)""")
 def binary_by_band(t: Tables):
     return rounded(report.binary_by_band(scored(t), "doc_id", "nmin"), "value", "lo", "hi").drop("used")
 
 
+EXTERNAL_CODES = "(VALUES (0, '0', -1, 0), (2000, '>0', 0, 1000000)) AS b(code, band, above, upto)"
+
+
+@query(f"""
+WITH {SCORED_SQL}, {by_band_sql(EXTERNAL_CODES)}
+SELECT band, scope, metric, round(value, 6) AS value, round(lo, 6) AS lo, round(hi, 6) AS hi, {ci_sql()} AS ci
+FROM points JOIN ranges USING (band, scope, metric)""")
+def external_by_band(t: Tables):
+    found = report.binary_by_band(scored(t), "doc_id", "nmin", report.EXTERNAL_BANDS)
+    return rounded(found, "value", "lo", "hi").drop("used")
+
+
+EVERY_CODE = "(VALUES (0, 'all', -1000000, 1000000)) AS b(code, band, above, upto)"
+
+
+@query(f"""
+WITH {SCORED_SQL}, all_rows AS (SELECT * REPLACE (0 AS nmin) FROM scored), {by_band_sql(EVERY_CODE, 'all_rows')}
+SELECT scope, metric, round(value, 6) AS value, round(lo, 6) AS lo, round(hi, 6) AS hi, {ci_sql()} AS ci
+FROM points JOIN ranges USING (band, scope, metric)""")
+def binary_performance(t: Tables):
+    return rounded(bootstrap.perf(scored(t), "doc_id"), "value", "lo", "hi").drop("used")
+
+
 # ---- coefficient reports -----------------------------------------------------------------------
 
 COEF_SQL = f"""w AS (SELECT doc_id, unnest(list_distinct({WORDS_SQL})) AS term FROM documents),
