@@ -119,14 +119,15 @@ def arrange(notes: DataFrame, *, min_tokens: int = 300, keys: list[str] = ADMISS
             .withColumn("SexDSC", labels.encode_category(F.col("SexDSC"), labels.SEX_CODES)))
 
 
-def arrange_external(notes: DataFrame, *, reset_follow_up: bool = True, sex: str = "gender",
+def arrange_external(notes: DataFrame, *, reset_follow_up: bool = True, sex: str | None = "gender",
                      outcome: str = "mrs", order: list[str] = ("NoteID",)) -> DataFrame:
-    """The other site's variant: grouped by every column but the note, no minimum length."""
+    """The other site's variant: grouped by every column but the note, no minimum length. `outcome` is the
+    label as the site writes it; `sex` is None where an adapter has coded it already."""
     keys = [c for c in notes.columns if c not in ("NoteID", "Notes")]
     docs = concat_ordered(notes, keys, list(order), "Notes")
-    return (docs.withColumn("Expired", labels.expired_flag_external(
-                F.col(outcome).cast("string"), F.col("follow_up"), reset_follow_up))
-            .withColumn(sex, labels.encode_category(F.col(sex), labels.EXTERNAL_SEX_CODES)))
+    docs = docs.withColumn("Expired", labels.expired_flag_external(
+        F.col(outcome).cast("string"), F.col("follow_up"), reset_follow_up))
+    return docs if sex is None else docs.withColumn(sex, labels.encode_category(F.col(sex), labels.EXTERNAL_SEX_CODES))
 
 
 def assemble_documents(notes: DataFrame, *, keys: list[str] = DOCUMENT_KEYS, note: str = "NoteID",

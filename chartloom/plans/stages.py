@@ -18,6 +18,7 @@ from chartloom.operators.grouping import union_all
 from chartloom.operators.joins import attach, enrich
 from chartloom.operators.split import with_split
 from chartloom.schemas import DOCUMENT_KEYS
+from chartloom.sources.adapters import SiteAdapter, adapt
 from chartloom.sources.checkpoints import materialise
 
 Cut = Callable[[DataFrame], DataFrame]
@@ -81,6 +82,44 @@ def vector_table(docs: DataFrame, train: DataFrame, vocabulary: list[str], reran
     return features.vectorise(ready, "Notes", vocabulary, NUMERIC)
 
 
+# --- fixed values: what the other site calls its columns ---
+EXTERNAL_SITE = SiteAdapter(
+    columns={"SexDSC": "gender", "HospitalAdmitDTS": "admission", "HospitalDischargeDTS": "discharge", "mrs": "mrs_discharge", "label": "mrs_discharge"},
+    codes={"SexDSC": labels.EXTERNAL_SEX_CODES}, readers={"mrs": labels.normalise_label}, required=("mrs",))
+EXTERNAL_KEYS = ["PatientID", "SexDSC", "Age", "HospitalAdmitDTS", "HospitalDischargeDTS", "Date_mrs_post_discharge", "mrs", "label"]
+
+
+@dataclass
+class ExternalTables:
+    discharge_typed: DataFrame
+    follow_up_typed: DataFrame
+    docs: DataFrame
+    rejects: DataFrame
+
+
+def prepare_external(discharge_lines: DataFrame, follow_up_lines: DataFrame, stop_words: list[str], site: SiteAdapter = EXTERNAL_SITE,
+                     keys: list[str] = EXTERNAL_KEYS, stem: bool = True, cut: Cut = materialise) -> ExternalTables:
+    """Stage 6: the other site's lines, joined to its admissions already, under our names and codes; typed,
+    normalised and put together per admission; with its label as a number, and deaths from its wording.
+
+    Rejects are the lines with a code or label that no list and no reader knows.
+    """
+    typed, rejects, clean = [], [], []
+    for follow_up, lines in enumerate((discharge_lines, follow_up_lines)):
+        adapted = adapt(lines, site, ["PatientID", "NoteID"])
+        rejects.append(adapted.rejects.distinct().withColumn("follow_up", F.lit(follow_up)))
+        latest = cut(notes.typed_notes(cut(adapted.rows), follow_up=bool(follow_up), keys=keys))
+        typed.append(latest)
+        clean.append(notes.normalise_notes(latest, stop_words, keys=keys, stem=stem).withColumn("follow_up", F.lit(follow_up)))
+    docs = notes.arrange_external(union_all(*clean), sex=None, outcome="label").drop("label")
+    return ExternalTables(*typed, cut(docs), cut(union_all(*rejects)))
+
+
+def external_vectors(docs: DataFrame, train_docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """The other site's documents in the columns of the training table; its ages stretched onto the training range."""
+    return vector_table(docs, train_docs, vocabulary, rerange=True)
+
+
 def linear_predictions(train: DataFrame, test: DataFrame, extractions: DataFrame | None, keys: list[str],
                        alpha: float = models.BEST_ALPHA):
     """Stages 4 and 7: lasso, clipped, with the expired rule and extracted scores on top."""
