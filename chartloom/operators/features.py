@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chartloom.functions.rewrite import bind
-from chartloom.functions.text import keep_tokens, keep_vocabulary, ngram_range, ngrams, word_tokens
+from chartloom.functions.text import keep_vocabulary, ngram_range, word_tokens
+from chartloom.operators import heavy
 
 
 def document_frequency(df: DataFrame, terms: Column) -> DataFrame:
@@ -32,35 +32,8 @@ def frequent_terms(df: DataFrame, terms: Column, documents: int | None = None) -
 
 
 def fit_ngram_vocabulary(df: DataFrame, body: str, high: int = 3) -> list[str]:
-    """Frequent word 1..high-grams, ordered by length, then alphabetically.
-
-    An n-gram can only be frequent if all its words are, so the second pass emits just those
-    candidates: most of the distinct pairs and triples never reach the shuffle, and the result
-    is the same as counting all of them.
-    """
-    documents = df.count()
-    words = frequent_terms(df, word_tokens(F.col(body)), documents)
-    vocabulary = list(words)
-    if not words or high < 2:
-        return vocabulary
-    known = set_filter(words)
-    longer = bind(word_tokens(F.col(body)), lambda t: F.concat(
-        *[candidate_ngrams(t, n, known) for n in range(2, high + 1)]))
-    rows = (frequent(document_frequency(df, longer), documents)
-            .select("term", F.size(F.split("term", " ")).alias("n")).collect())
-    return vocabulary + [r.term for r in sorted(rows, key=lambda r: (r.n, r.term))]
-
-
-def set_filter(words: list[str]):
-    return lambda t: t.isin(words)
-
-
-def candidate_ngrams(tokens: Column, n: int, known) -> Column:
-    """n-grams all of whose words pass `known`: words that do not are blanked, and grams with a
-    blank in them dropped."""
-    marked = F.transform(tokens, lambda t: F.when(known(t), t).otherwise(F.lit("")))
-    whole = rf"^[^ ]+( [^ ]+){{{n - 1}}}$"
-    return F.filter(ngrams(marked, n), lambda g: g.rlike(whole))
+    """Frequent word 1..high-grams, ordered by length, then alphabetically (see `heavy`)."""
+    return heavy.frequent_ngrams(df, body, high)
 
 
 def term_counts(df: DataFrame, key: list[str], terms: Column) -> DataFrame:
@@ -69,10 +42,9 @@ def term_counts(df: DataFrame, key: list[str], terms: Column) -> DataFrame:
             .groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
-def presence(df: DataFrame, key: list[str], body: str, vocabulary: list[str], high: int = 3) -> DataFrame:
-    """Long presence matrix (key, term) over the vocabulary; made in the row, without a shuffle."""
-    kept = F.array_distinct(keep_tokens(ngram_range(word_tokens(F.col(body)), 1, high), vocabulary))
-    return df.select(*key, F.explode(kept).alias("term"))
+def presence(df: DataFrame, key: list[str], body: str, vocabulary: list[str]) -> DataFrame:
+    """Long presence matrix (key, term) over the vocabulary, from blocks of term numbers."""
+    return heavy.presence(df, key, body, vocabulary).matrix()
 
 
 def prune_rare_words(notes: DataFrame, body: str, terms: list[str]) -> DataFrame:
