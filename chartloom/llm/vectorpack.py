@@ -7,7 +7,9 @@ example heavy in what is still free goes first. Where no example fits whole, the
 dot product is cut to what is left; a whole sequence's worth of a long example is cut off beforehand.
 
 Every task packs its own rows from a pool, so nothing is shuffled and no row count matters. The pool has
-`POOL` examples, and more of short ones, until it holds a sequence's tokens or segments. What is left in a task's last sequence is cut at powers of two, which need no padding.
+`POOL` examples, and more of short ones, until it holds a sequence's tokens or segments. What is left in a task's last
+sequence is cut at powers of two, which need no padding. The limit on segments is off (none is as many as tokens)
+unless it is given.
 
 Defined results: a null text is empty, its only token the end; rows repeat freely; no rows give none.
 """
@@ -15,24 +17,26 @@ Defined results: a null text is empty, its only token the end; rows repeat freel
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from chartloom.llm.bpe import byte_letters
-from chartloom.llm.store import claim_worker
-from chartloom.llm.words import views
+from chartloom.llm.store import binary_sizes, claim_worker, row_slices
 
 TOKENS = 4096
-SEGMENTS = 512
 LOSS = 4096
 POOL = 256
 END = 2
+SLICE = 4 << 20           # bytes of texts encoded together
 KNOWN_WORDS = 700_000
+KNOWN_IDS = 8_000_000     # of all known words together
 LONGEST_KNOWN = 64
 # how the vocabulary file cuts lower-cased text: fixed
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -45,9 +49,9 @@ class Pieces(dict):
         super().__init__()
         self.model, self.letters = tokenizer.model, {b: c for c, b in byte_letters().items()}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> array:
         spelled = piece if piece.isascii() and piece.isalpha() else "".join(self.letters[b] for b in piece.encode())
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)])
         if len(self) >= KNOWN_WORDS:
             self.clear()
         if len(piece) <= LONGEST_KNOWN:
@@ -60,6 +64,7 @@ class WordIds:
 
     Latin words are cut into the vocabulary's pieces here and each new piece goes to the library's
     model; whatever needs the library's normaliser (other scripts, special tokens) goes through all of it.
+    The ids of all known words lie one after the other in one array; a text's ids are gathered from it.
     """
 
     def __init__(self, path: str):
@@ -69,33 +74,47 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pieces = Pieces(self.tokenizer)
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
 
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, other, pieces = {}, [], self.pieces
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts = array("I"), array("q", [0])       # word k has the ids from starts[k] to starts[k + 1]
+
+    def _learn(self, words: list[str]) -> None:
+        other, pieces, ids, known, starts = [], self.pieces, self.ids, self.known, self.starts
         for word in words:
-            text = word.decode()
+            ascii = word.isascii()
+            if ascii and word.isalpha():                    # one run of letters is one piece
+                ids.extend(pieces[word.lower()])
             # below this letter text is in normal form already and lower case is letter by letter
-            if (text.isascii() or (max(text) < "\u0250" and "\u0130" not in text)) and "<|" not in text:
-                out[word] = b"".join(map(pieces.__getitem__, PIECES.findall(text.lower())))
+            elif (ascii or (max(word) < "\u0250" and "\u0130" not in word)) and "<|" not in word:
+                for piece in PIECES.findall(word.lower()):
+                    ids.extend(pieces[piece])
             else:
                 other.append(word)
-        for word, encoded in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
-            out[word] = np.array(encoded.ids, "<u4").tobytes()
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        fresh = self._encode(list({w for words in split for w in words} - self.known.keys()))
-        if len(self.known) + len(fresh) > KNOWN_WORDS:
-            needed = {w for words in split for w in words}
-            self.known = {w: i for w, i in self.known.items() if w in needed}
-        self.known |= fresh
-        ids = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for word in fresh:
-            if len(word) > LONGEST_KNOWN:
-                del self.known[word]
-        return ids
+                continue
+            known[word] = len(known)
+            starts.append(len(ids))
+        for word, encoded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            ids.extend(encoded.ids)
+            known[word] = len(known)
+            starts.append(len(ids))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin in them."""
+        if len(self.known) > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
+            self.forget()
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words, known = coded.dictionary.to_pylist(), self.known
+        self._learn([w for w in words if w not in known])
+        number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+        starts = np.array(self.starts)
+        begin, length = starts[number], starts[number + 1] - starts[number]
+        until = np.concatenate([[0], np.cumsum(length)])
+        ids = np.array(self.ids, dtype="<u4")[np.repeat(begin - until[:-1], length) + np.arange(until[-1])]
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return ids, until[ends]
 
 
 @lru_cache(maxsize=2)
@@ -106,7 +125,8 @@ def word_ids(path: str) -> WordIds:
 class Packer:
     """Sequences of (example, start, length) pieces; `give` adds an example, `rest` ends the stream."""
 
-    def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = POOL):
+    def __init__(self, tokens: int = TOKENS, segments: int | None = None, loss: int = LOSS, pool: int = POOL):
+        segments = segments or tokens         # a segment has a token at least
         self.limits = np.array([tokens, segments, loss], dtype=np.int64)
         self.pool = pool
         self.items: list[tuple[int, int, int, int]] = []      # example, start, tokens left, first loss-bearing place
@@ -188,7 +208,7 @@ SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, seq
 
 
 def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", loss_from: str | None = None,
-                   tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS) -> DataFrame:
+                   tokens: int = TOKENS, segments: int | None = None, loss: int = LOSS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     `loss_from` names an integer column: the first token of the row that bears loss (null: all do).
@@ -228,10 +248,11 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text: str =
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             ids_of, firsts = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist()
-            for begin, _, data, offsets in views(batch.column("text")):
-                texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-                for i, ids in enumerate(encoder.encode(texts), begin):
-                    ids += END.to_bytes(4, "little")
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            for begin, end in row_slices(binary_sizes(texts), SLICE):
+                coded, at = encoder.encode(texts.slice(begin, end - begin))
+                for i in range(begin, end):
+                    ids = coded[at[i - begin]:at[i - begin + 1]].tobytes() + END.to_bytes(4, "little")
                     held[count] = (ids_of[i], ids, len(ids) // 4)
                     for pieces in packer.give(count, len(ids) // 4, firsts[i]):
                         write(pieces)

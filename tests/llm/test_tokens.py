@@ -1,16 +1,20 @@
 """Sub-word ids against the library, packing against its own limits."""
 
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from chartloom.llm import bpe, vectorpack  # noqa: E402
 
+SF = "/root/testdata/sf0.001"
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 ODD = "aeiou bcd'stremLLAÀÉSSß  \n\t\x1c\x85 \xa0  0123456789²½ÉñßİΣ漢字😀<|endoftext|>́\x00\x7f!?.,ǅŉ"
 
@@ -47,8 +51,13 @@ def test_encode_table(spark):
 def test_word_ids_equal_the_library():
     coder, library = vectorpack.word_ids(WORD), Tokenizer.from_file(WORD)
     texts = odd_texts(3000, 5) + ["y" * 3000, ""]
-    for ids, want in zip(coder.encode([t.encode() for t in texts]), library.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(ids, "<u4").tolist() == want.ids
+    for _ in range(2):                                               # words new and known
+        ids, at = coder.encode(pa.array(texts, pa.large_string()))
+        for i, want in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+            assert ids[at[i]:at[i + 1]].tolist() == want.ids
+    coder.forget()
+    assert coder.encode(pa.array(texts[:1], pa.large_string()))[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+    assert [len(x) for x in coder.encode(pa.array([], pa.large_string()))] == [0, 1]
 
 
 def test_limits_hold_and_nothing_is_lost():
@@ -72,8 +81,8 @@ def test_limits_hold_and_nothing_is_lost():
 
 
 def test_short_texts_fill_sequences():
-    for n, tokens, segments in ((10, 4096, None), (5, None, 512)):
-        packer, out = vectorpack.Packer(), []
+    for n, tokens, segments in ((10, 4096, None), (5, 4096, None), (1, 4096, None), (5, None, 512)):
+        packer, out = vectorpack.Packer(segments=segments), []
         for e in range(5000):
             out += packer.give(e, n)
         assert out and {sum(p[2] for p in s) for s in out} == ({tokens} if tokens else {n * segments})
@@ -102,12 +111,19 @@ def test_packed_table(spark):
         pieces.sort(key=lambda r: r.offset)
         total = sum(r.length for r in pieces)
         assert [r.offset for r in pieces] == [sum(x.length for x in pieces[:k]) for k in range(len(pieces))]
-        assert total <= 4096 and len(pieces) <= vectorpack.SEGMENTS
+        assert total <= 4096
         used, padded = used + total, padded + (total if total & (total - 1) == 0 else 4096)
     assert used / padded > 0.99
     assert vectorpack.pack_documents(spark.createDataFrame([], "doc_id long, text string"), WORD).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_documents_leave_hardly_any_padding(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit(1).alias("ids"), F.lit("x").alias("length"), F.lit("x").alias("first"))
+    totals = [r.n for r in vectorpack.pack_documents(docs, WORD).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(totals) / sum(n if n & (n - 1) == 0 else 4096 for n in totals) > 0.995
+
+
 def test_loss_bearing_tokens_are_limited(spark):
     df = spark.createDataFrame([(i, "word " * 300, 200) for i in range(40)], "doc_id long, text string, prompt int")
     got = vectorpack.pack_documents(df.coalesce(1), WORD, loss_from="prompt", tokens=1024, loss=256).collect()
