@@ -7,8 +7,9 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Interaction, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartloom.sources.checkpoints import materialise
@@ -22,6 +23,7 @@ FOLDS = 5
 MAX_ITERATIONS = 1000
 LASSO_SEARCH_ITERATIONS = 100
 TOLERANCE = 1e-8
+CERTIFIED = 0.01          # how far an optimality condition may be missed, as a share of the penalty
 
 
 def lasso(alpha: float = BEST_ALPHA, features: str = "features", label: str = "mrs",
@@ -80,29 +82,43 @@ def logistic(penalty: float, features: str = "features_1", label: str = "y", wei
                               probabilityCol="probability", predictionCol="y_default")
 
 
+def mirrored(df: DataFrame, features: str = "features_1", label: str = "y") -> DataFrame:
+    """Add `features_m` and `label_m`: every other row with the signs of its features and its class turned.
+
+    Without an intercept the loss of a turned row is that of the row, so the fit is the same. But the constant
+    feature now takes two values; the solver leaves features of one value at weight zero.
+    """
+    turned = F.expr("(monotonically_increasing_id() + spark_partition_id()) % 2 = 1")
+    signed = df.withColumn("_sign", F.when(turned, -1.0).otherwise(1.0))
+    product = Interaction(inputCols=["_sign", features], outputCol="features_m").transform(signed)
+    return product.withColumn("label_m", F.when(F.col("_sign") < 0, 1 - F.col(label)).otherwise(F.col(label)).cast("double")).drop("_sign")
+
+
 def prepare_classes(train: DataFrame, label: str = "y", features: str = "features") -> DataFrame:
-    """Class weights (one row per class, broadcast) and the constant feature."""
+    """Class weights (one row per class, broadcast), the constant feature, and the rows to fit on."""
     weighted = train.join(F.broadcast(balanced_weights(train, label)), label)
-    return with_penalised_intercept(weighted, features)
+    return mirrored(with_penalised_intercept(weighted, features), label=label)
 
 
-def fit_logistic(prepared: DataFrame, inverse_penalty: float, rows: int | None = None, label: str = "y"):
+def fit_logistic(prepared: DataFrame, inverse_penalty: float, rows: int | None = None):
     """|w|_1 + C sum of weighted losses, written as Spark's mean loss + |w|_1 / (C n)."""
     n = prepared.count() if rows is None else rows
-    return logistic(1.0 / (inverse_penalty * n), label=label).fit(prepared)
+    fitted = logistic(1.0 / (inverse_penalty * n), "features_m", "label_m").fit(prepared)
+    return fitted.setFeaturesCol("features_1")
 
 
 def search_penalty(prepared: DataFrame, order: str, label: str = "y",
                    grid_values: list[float] = INVERSE_PENALTIES, folds: int = FOLDS,
                    parallelism: int = 8) -> list[tuple[float, float]]:
     """(C, mean accuracy) over unshuffled stratified folds; the full grid."""
-    ready = pack(stratified_folds(prepared.select(order, "features_1", label, "weight"), order, label, folds))
+    ready = pack(stratified_folds(prepared.select(order, "features_m", "label_m", label, "weight"), order, label, folds))
     n = ready.count() * (folds - 1) / folds
-    model = logistic(1.0, label=label)
+    # a turned row is right or wrong exactly when the row is
+    model = logistic(1.0, "features_m", "label_m")
     grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in grid_values]).build()
     search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
                             evaluator=MulticlassClassificationEvaluator(
-                                labelCol=label, predictionCol="y_default", metricName="accuracy"),
+                                labelCol="label_m", predictionCol="y_default", metricName="accuracy"),
                             parallelism=parallelism)
     return list(zip(grid_values, search.fit(ready).avgMetrics))
 
@@ -120,5 +136,27 @@ def coefficient_table(spark, names: list[str], coefficients) -> DataFrame:
     return spark.createDataFrame(rows, "idx int, term string, coef double")
 
 
+def certificate(rows: DataFrame, residual: Column, names: list[str], coefficients, penalty: float, tolerance: float,
+                features: str = "features", weight: Column | None = None) -> DataFrame:
+    """(term, coef, gradient, slack, holds): the optimality conditions of an L1 fit, feature by feature.
+
+    With residuals r (truth less prediction) and weights w the gradient is sum(w r x) / sum(w). It equals the
+    penalty, with the sign of the weight, where the weight is not zero, and does not exceed it
+    elsewhere; `slack` is by how much that fails. Any solver's result that meets the conditions is the optimum, because the
+    problem is convex. One pass: sums of sparse vectors, combined in the tasks; one row of the vocabulary's length reaches the driver.
+    """
+    w = F.lit(1.0) if weight is None else weight
+    signed = rows.select(F.col(features).alias("_x"), w.alias("_w"), (w * residual).alias("_r"))
+    ahead, behind = F.greatest(F.col("_r"), F.lit(0.0)), F.greatest(-F.col("_r"), F.lit(0.0))
+    sums = signed.agg(Summarizer.metrics("sum").summary(F.col("_x"), ahead).alias("up"),
+                      Summarizer.metrics("sum").summary(F.col("_x"), behind).alias("down"), F.sum("_w").alias("w")).first()
+    out = []
+    for name, coef, up, down in zip(names, coefficients.toArray(), sums["up"]["sum"].toArray(), sums["down"]["sum"].toArray()):
+        gradient = float(up - down) / sums["w"]
+        slack = abs(gradient - penalty * (1 if coef > 0 else -1)) if coef else max(0.0, abs(gradient) - penalty)
+        out.append((name, float(coef), gradient, slack, slack <= tolerance))
+    return rows.sparkSession.createDataFrame(out, "term string, coef double, gradient double, slack double, holds boolean")
+
+
 def tuned_label(one: Column, threshold: Column) -> Column:
     return (one >= threshold).cast("int")

@@ -1,4 +1,4 @@
-"""Catalog: model fitting and search on the labelled documents. No SQL counterpart."""
+"""Catalog: model fitting and search on the labelled documents. Fits have no SQL counterpart, their optimality has."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from chartloom.functions import labels
 from chartloom.operators import bootstrap, curves, features, models
 from chartloom.operators.split import with_split
+from chartloom.plans.feature import GRAMS_SQL
 from chartloom.plans.registry import Tables, query
 from chartloom.plans.stages import NUMERIC, binary_predictions, importance_report, linear_predictions, linear_report
 from chartloom.plans.texts import plain
@@ -54,6 +55,37 @@ def logit_fit(t: Tables):
     return models.coefficient_table(t.spark, [*vocabulary, *NUMERIC, "(intercept)"], model.coefficients)
 
 
+# Every feature's optimality condition holds. The vocabulary is DuckDB's own: a term too many or too few shows.
+LABELLED_SQL = "labelled AS (SELECT d.* FROM documents d JOIN labels USING (doc_id))"
+
+
+def certified_sql(names: list[str]) -> str:
+    listed = ", ".join(f"('{n}')" for n in names)
+    return f"""
+WITH {LABELLED_SQL}, {GRAMS_SQL.replace('FROM documents', 'FROM labelled')}
+SELECT term, true AS holds FROM v UNION ALL SELECT name, true FROM (VALUES {listed}) AS n(name)"""
+
+
+@query(certified_sql(NUMERIC))
+def lasso_certificate(t: Tables):
+    train, vocabulary = training(t)
+    model = models.lasso(models.BEST_ALPHA).fit(train)
+    residual = F.col("mrs") - F.col("y_pred")
+    return models.certificate(model.transform(train), residual, [*vocabulary, *NUMERIC], model.coefficients, models.BEST_ALPHA,
+                              models.CERTIFIED * models.BEST_ALPHA).select("term", "holds")
+
+
+@query(certified_sql([*NUMERIC, "(intercept)"]))
+def logit_certificate(t: Tables):
+    train, vocabulary = training(t)
+    prepared = models.pack(models.prepare_classes(train))
+    model = models.fit_logistic(prepared, 0.5)
+    scored = models.probabilities(model.transform(prepared))
+    penalty = 1.0 / (0.5 * prepared.count())
+    return models.certificate(scored, F.col("y") - F.col("one"), [*vocabulary, *NUMERIC, "(intercept)"], model.coefficients, penalty,
+                              models.CERTIFIED * penalty, "features_1", F.col("weight")).select("term", "holds")
+
+
 @query()
 def logit_grid(t: Tables):
     train, _ = training(t)
