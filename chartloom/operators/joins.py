@@ -24,12 +24,12 @@ def adults(df: DataFrame, age: str = "Age", at_least: int = 18) -> DataFrame:
 def keep_listed(df: DataFrame, listed: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows whose key occurs in `listed`; lifts a line-level match to all lines of the note."""
     keys = [key] if isinstance(key, str) else key
-    return df.join(listed.select(*keys), keys, "left_semi")
+    return df.join(listed.select(*keys).distinct(), keys, "left_semi")
 
 
 def drop_listed(df: DataFrame, listed: DataFrame, key: str | list[str]) -> DataFrame:
     keys = [key] if isinstance(key, str) else key
-    return df.join(listed.select(*keys), keys, "left_anti")
+    return df.join(listed.select(*keys).distinct(), keys, "left_anti")
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
