@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,9 +131,9 @@ def test_recall_and_scores(spark):
 
 
 def test_recall_with_cells_of_few_per_cent(spark, monkeypatch):
-    """The descent and the search carry what the starting cells do not: they hold about 3 % of the nodes."""
+    """The descent and the search carry what the starting cells do not: they hold about 1 % of the nodes."""
     monkeypatch.setattr(nndescent, "CELL", 24)
-    monkeypatch.setattr(nndescent, "ROUNDS", 4)
+    monkeypatch.setattr(nndescent, "ROUNDS", 2)
     n = 4000
     vectors = np.random.default_rng(5).standard_normal((n, 32)).astype(np.float32)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -151,3 +152,25 @@ def test_rows_that_take_no_part(spark):
     got = [tuple(r) for r in nndescent.nearest(df, F.col("vec_id") % 20 == 0).collect()]
     assert sorted(got) == [(0, 1, 20, 0.5), (20, 1, 0, 0.5)]
     assert nndescent.nearest(df.limit(0), F.lit(True)).count() == 0
+    # columns named like the operator's own are not read
+    more = df.select("*", *[F.lit(7).alias(c) for c in ("node", "nb", "score", "q", "code", "near", "floor", "a.b")])
+    assert sorted(tuple(r) for r in nndescent.nearest(more, F.col("vec_id") % 20 == 0).collect()) == sorted(got)
+
+
+def test_local_join_like_brute_force(spark):
+    """Pairs with a fresh member, the best of each member above its floor, whatever the sizes of the groups."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 8))
+    codes = nndescent.encode(x)
+    groups, want = [], set()
+    for size in (1, 2, 7, 30):
+        ids = [int(i) for i in rng.choice(60, size, replace=False)]
+        fresh, floor = [bool(v) for v in rng.random(size) < 0.4], [float(v) for v in rng.normal(0, 1, size)]
+        groups.append(([(i, bytearray(codes[i]), f, b) for i, f, b in zip(ids, floor, fresh)],))
+        scale, whole = nndescent.decode(pa.array([codes[i] for i in ids], pa.binary()))
+        for a in range(size):
+            others = [((float(whole[a] @ whole[b])) * (scale[a] * scale[b]), ids[b]) for b in range(size) if b != a and (fresh[a] or fresh[b])]
+            want |= {(ids[a], nb, s) for s, nb in sorted(others, reverse=True)[:3] if s > floor[a]}
+    df = spark.createDataFrame(groups, "them array<struct<node:long,code:binary,floor:double,fresh:boolean>>").coalesce(1)
+    got = {tuple(r) for r in nndescent.local_join(df, 3, 3).collect()}
+    assert got == want
