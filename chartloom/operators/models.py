@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -107,20 +110,39 @@ def fit_logistic(prepared: DataFrame, inverse_penalty: float, rows: int | None =
     return fitted.setFeaturesCol("features_1")
 
 
+def fold_class_weights(folded: DataFrame, label: str, folds: int = FOLDS) -> DataFrame:
+    """(label, weights): for each fold the balanced weight of the class among the rows outside it; null where it has none."""
+    outside = [F.col("fold") != k for k in range(folds)]
+    # one row per class
+    counted = folded.groupBy(label).agg(F.array(*[F.count_if(o) for o in outside]).alias("n"))
+    rows = counted.select(F.array(*[F.sum(F.col("n")[k]) for k in range(folds)])).scalar()
+    classes = counted.select(F.array(*[F.count_if(F.col("n")[k] > 0) for k in range(folds)])).scalar()
+    weights = [F.when(F.col("n")[k] > 0, rows[k] / (classes[k] * F.col("n")[k])) for k in range(folds)]
+    return counted.select(label, F.array(*weights).alias("weights"))
+
+
 def search_penalty(prepared: DataFrame, order: str, label: str = "y",
                    grid_values: list[float] = INVERSE_PENALTIES, folds: int = FOLDS,
                    parallelism: int = 8) -> list[tuple[float, float]]:
-    """(C, mean accuracy) over unshuffled stratified folds; the full grid."""
-    ready = pack(stratified_folds(prepared.select(order, "features_m", "label_m", label, "weight"), order, label, folds))
-    n = ready.count() * (folds - 1) / folds
+    """(C, mean accuracy) over unshuffled stratified folds; the full grid. Every fit has the class weights and the
+    row count of its own training part."""
+    placed = materialise(stratified_folds(prepared.select(order, "features_m", "label_m", label), order, label, folds))
+    ready = pack(placed.join(F.broadcast(fold_class_weights(placed, label, folds)), label))
+    # one row per fold
+    held = {r["fold"]: r["n"] for r in ready.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     # a turned row is right or wrong exactly when the row is
-    model = logistic(1.0, "features_m", "label_m")
-    grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in grid_values]).build()
-    search = CrossValidator(estimator=model, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                            evaluator=MulticlassClassificationEvaluator(
-                                labelCol="label_m", predictionCol="y_default", metricName="accuracy"),
-                            parallelism=parallelism)
-    return list(zip(grid_values, search.fit(ready).avgMetrics))
+    accuracy = MulticlassClassificationEvaluator(labelCol="label_m", predictionCol="y_default", metricName="accuracy")
+
+    def held_out(task: tuple[float, int]) -> float:
+        c, fold = task
+        train = ready.where(F.col("fold") != fold).withColumn("weight", F.col("weights")[fold])
+        fitted = logistic(1.0 / (c * (sum(held.values()) - held[fold])), "features_m", "label_m").fit(train)
+        return accuracy.evaluate(fitted.transform(ready.where(F.col("fold") == fold)))
+
+    tasks = [(c, fold) for c in grid_values for fold in sorted(held)]
+    with ThreadPool(parallelism) as pool:
+        scores = dict(zip(tasks, pool.map(inheritable_thread_target(held_out), tasks)))
+    return [(c, sum(scores[c, fold] for fold in held) / len(held)) for c in grid_values]
 
 
 def probabilities(scored: DataFrame, column: str = "probability") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartloom.functions import labels, lexicon
-from chartloom.operators import grouping, joins, notes, ordered, report, split
+from chartloom.operators import grouping, joins, models, notes, ordered, report, split
 from chartloom.operators.extract import closest
 from chartloom.plans.registry import Tables, query
 from chartloom.sources.tables import parse_dates
@@ -345,7 +345,7 @@ def fold_assign(t: Tables):
     return split.contiguous_folds(t.orders.select("o_orderkey"), "o_orderkey", 5)
 
 
-@query("""
+FOLDS_SQL = """
 WITH c AS (SELECT o_orderstatus, min(o_orderkey) AS first_seen FROM orders GROUP BY 1),
  dealt AS (SELECT o_orderstatus, (row_number() OVER (ORDER BY first_seen, o_orderkey) - 1) % 5 AS fold
            FROM orders JOIN c USING (o_orderstatus)),
@@ -353,11 +353,24 @@ WITH c AS (SELECT o_orderstatus, min(o_orderkey) AS first_seen FROM orders GROUP
  ends AS (SELECT o_orderstatus, fold, sum(n) OVER (PARTITION BY o_orderstatus ORDER BY fold) AS upto FROM sizes),
  placed AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS at FROM orders)
 SELECT p.o_orderkey, p.o_orderstatus, CAST(min(e.fold) AS INTEGER) AS fold
-FROM placed p JOIN ends e ON p.o_orderstatus = e.o_orderstatus AND p.at <= e.upto GROUP BY ALL""")
+FROM placed p JOIN ends e ON p.o_orderstatus = e.o_orderstatus AND p.at <= e.upto GROUP BY ALL"""
+
+
+@query(FOLDS_SQL)
 def fold_assign_strat(t: Tables):
     return split.stratified_folds(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 5)
 
 
+@query(f"""
+WITH dealt_rows AS ({FOLDS_SQL}), folds AS (SELECT unnest(range(5))::INT AS fold),
+ outside AS (SELECT f.fold, d.o_orderstatus, count(*) AS n FROM folds f JOIN dealt_rows d ON d.fold <> f.fold GROUP BY ALL)
+SELECT fold, o_orderstatus, sum(n) OVER (PARTITION BY fold)::DOUBLE / (count(*) OVER (PARTITION BY fold) * n) AS weight FROM outside""")
+def class_weights_by_fold(t: Tables):
+    folded = split.stratified_folds(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 5)
+    weights = models.fold_class_weights(folded, "o_orderstatus", 5)
+    return weights.select("o_orderstatus", F.posexplode("weights").alias("fold", "weight")).where("weight IS NOT NULL")
+
+
 @query("""
 SELECT 0 AS follow_up, o_orderkey AS id, o_orderstatus AS status FROM orders
 UNION ALL SELECT 1 AS follow_up, l_orderkey AS id, l_linestatus AS status FROM lineitem""")
