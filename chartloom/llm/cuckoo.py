@@ -2,14 +2,16 @@
 
 Texts are equal if they are identical after every run of white space (0x20, 0x09-0x0D) becomes one
 space; a digest is the SHA-256 of that form. Digests are dealt into shards of the hash range. A shard
-has a cuckoo filter (buckets of four 16-bit fingerprints, partial-key hashing) and, bucketed by the
-same shard, the stored content: the full digest and the id of every live row.
+has a cuckoo filter (buckets of four 16-bit fingerprints, partial-key hashing) and the stored content:
+the live digests with their smallest id and number of rows (`entries`), and the id of every live row
+(`stored`), which only deletion reads.
 
 A batch is reduced to distinct digests before it is dealt, so a text that a third of all rows share
-is one key. A filter miss is new for certain. A hit is only a suspicion and is verified against the
-stored content of its bucket. A filter that cannot place a fingerprint is rebuilt with twice the
-buckets from its shard's stored keys. Deleting removes stored rows, and the fingerprint of a digest
-once its last row is gone.
+is one key. A filter miss is new for certain and opens an entry without a look at the stored ones. A
+hit is only a suspicion: it joins the entry of its full digest, or opens one where there is none. A
+filter that cannot place a fingerprint is rebuilt with twice the buckets from its shard's entries.
+Deleting removes stored rows, makes the entries of their digests anew from the rows left, and removes
+the fingerprint of a digest once its last row is gone.
 
 Defined results: a null text counts as empty; the row that stays has the smallest id of its group, rows
 with a null id stay only where no other row has an id; rows repeating the kept id are all kept.
@@ -126,15 +128,17 @@ def build(keys: DataFrame) -> DataFrame:
 
 
 class CuckooIndex:
-    """`stored` is (shard, digest, id), one row per live row; `filters` one row per shard."""
+    """`entries` is (shard, digest, keep_id, group_size), one row per live digest; `stored` (shard, digest, id),
+    one per live row; `filters` one per shard."""
 
-    def __init__(self, stored: DataFrame, filters: DataFrame, shards: int):
-        self.stored, self.filters, self.shards = stored, filters, shards
+    def __init__(self, entries: DataFrame, stored: DataFrame, filters: DataFrame, shards: int):
+        self.entries, self.stored, self.filters, self.shards = entries, stored, filters, shards
 
     @classmethod
     def empty(cls, spark: SparkSession, id_type: str, expected: int) -> CuckooIndex:
         shards = 1 << max(4, int(np.ceil(np.log2(max(1, expected / KEYS_PER_SHARD)))))
-        return cls(spark.createDataFrame([], f"shard int, digest string, id {id_type}"),
+        return cls(spark.createDataFrame([], f"shard int, digest string, keep_id {id_type}, group_size long"),
+                   spark.createDataFrame([], f"shard int, digest string, id {id_type}"),
                    spark.createDataFrame([], FILTER), shards)
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
@@ -146,16 +150,23 @@ class CuckooIndex:
             known = _load(filters)
             hits = [known is not None and k in known for k in table.column("digest").to_pylist()]
             return table.select(["shard", "digest"]).append_column("hit", pa.array(hits, pa.bool_()))
-        return (self.filters.groupBy("shard").cogroup(keys.groupBy("shard"))
+        return (self.filters.groupBy("shard").cogroup(keys.select("shard", "digest").groupBy("shard"))
                 .applyInArrow(look, "shard int, digest string, hit boolean"))
 
     def insert(self, rows: DataFrame) -> CuckooIndex:
         """The index with the rows (digest, id) of one batch added."""
         rows = stage(self._dealt(rows), "batch")
-        probed = stage(self.probe(rows.select("shard", "digest").distinct()), "probed")
-        suspects = probed.where("hit").select("shard", "digest")
-        false_hits = suspects.join(self.stored.select("shard", "digest"), ["shard", "digest"], "left_anti")
-        fresh = probed.where("NOT hit").select("shard", "digest").unionByName(false_hits)
+        batch = stage(_summed(rows), "arrivals")
+        arrivals = stage(batch.join(self.probe(batch), ["shard", "digest"]), "probed")
+        at = ["shard", "digest"]
+        hits = arrivals.where("hit").select(*at, F.col("keep_id").alias("came"), F.col("group_size").alias("more"))
+        joined = self.entries.join(hits, at, "full_outer").select(
+            *at, F.least("keep_id", "came").alias("keep_id"),
+            (F.coalesce("group_size", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("group_size"),
+            F.col("group_size").isNull().alias("fresh"))
+        opened = arrivals.where("NOT hit").select(*at, "keep_id", "group_size", F.lit(True).alias("fresh"))
+        marked = stage(joined.unionByName(opened), "entries")
+        entries, fresh = marked.drop("fresh"), marked.where("fresh").select(*at)
 
         def add(filters: pa.Table, table: pa.Table) -> pa.Table:
             names = table.column("digest").to_pylist()
@@ -165,10 +176,9 @@ class CuckooIndex:
             return _filter_rows([(table.column("shard")[0].as_py(), -1, 0, b"")])      # overflow
 
         added = stage(self.filters.groupBy("shard").cogroup(fresh.groupBy("shard")).applyInArrow(add, FILTER), "filters")
-        stored = self.stored.unionByName(rows)
-        full = added.where("log2 < 0").select("shard")
-        rebuilt = build(stored.join(full, "shard", "left_semi").select("shard", "digest").distinct())
-        return CuckooIndex(stored, stage(added.where("log2 >= 0").unionByName(rebuilt), "filters"), self.shards)
+        rebuilt = build(entries.join(added.where("log2 < 0").select("shard"), "shard", "left_semi").select(*at))
+        return CuckooIndex(entries, self.stored.unionByName(rows),
+                           stage(added.where("log2 >= 0").unionByName(rebuilt), "filters"), self.shards)
 
     def delete(self, rows: DataFrame) -> CuckooIndex:
         """The index without the stored rows that equal one of (digest, id); others are ignored."""
@@ -176,9 +186,11 @@ class CuckooIndex:
         same = [self.stored["shard"] == gone["shard"], self.stored["digest"] == gone["digest"],
                 self.stored["id"].eqNullSafe(gone["id"])]
         stored = stage(self.stored.join(gone, same, "left_anti"), "stored")
-        live = stored.select("shard", "digest")
-        dead = (self.stored.select("shard", "digest").distinct()
-                .join(gone, ["shard", "digest"], "left_semi").join(live, ["shard", "digest"], "left_anti"))
+        at = ["shard", "digest"]
+        touched = stage(gone.select(*at).distinct().join(self.entries.select(*at), at, "left_semi"), "touched")
+        left = stage(_summed(stored.join(touched, at, "left_semi")), "left")
+        entries = stage(self.entries.join(touched, at, "left_anti").unionByName(left), "entries")
+        dead = touched.join(left.select(*at), at, "left_anti")
 
         def drop(filters: pa.Table, table: pa.Table) -> pa.Table:
             known = _load(filters)
@@ -187,11 +199,16 @@ class CuckooIndex:
             return known.row(filters.column("shard")[0].as_py())
 
         filters = self.filters.groupBy("shard").cogroup(dead.groupBy("shard")).applyInArrow(drop, FILTER)
-        return CuckooIndex(stored, stage(filters, "filters"), self.shards)
+        return CuckooIndex(entries, stored, stage(filters, "filters"), self.shards)
 
     def groups(self) -> DataFrame:
-        """(digest, keep_id, group_size) of the live rows."""
-        return self.stored.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+        """(digest, keep_id, group_size) of the live digests."""
+        return self.entries.select("digest", "keep_id", "group_size")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """(shard, digest, id) rows as one entry per digest: partial sums leave the tasks."""
+    return rows.groupBy("shard", "digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", arrivals: int = 2) -> DataFrame:
@@ -204,7 +221,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     index = CuckooIndex.empty(df.sparkSession, df.schema[id_col].dataType.simpleString(), rows.count())
     for turn in range(arrivals):
         index = index.insert(rows.where(F.pmod(F.xxhash64("id"), F.lit(arrivals)) == turn))
-    # written first: a join of two plain tables can split a digest that very many rows share
-    out = rows.join(stage(index.groups(), "groups"), "digest")
+    # the entries are a stage table: a join of two plain tables can split a digest that very many rows share
+    out = rows.join(index.groups(), "digest")
     return out.select(F.col("id").alias("doc_id"), "content", "keep_id", "group_size",
                       F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))

@@ -93,6 +93,36 @@ def test_index_grows_verifies_and_forgets(spark):
     assert index.stored.count() == 250
 
 
+def test_what_the_filter_says_decides(spark, monkeypatch):
+    """A miss opens an entry unseen: with a filter that knows nothing, a digest of two batches has two."""
+    rows = spark.createDataFrame([("a" * 64, 1), ("a" * 64, 5), ("b" * 64, 2)], "digest string, id long")
+
+    def entries():
+        index = cuckoo.CuckooIndex.empty(spark, "bigint", 10)
+        index = index.insert(rows.where("id < 3")).insert(rows.where("id >= 3"))
+        return sorted((r.digest[0], r.keep_id, r.group_size) for r in index.groups().collect())
+
+    assert entries() == [("a", 1, 2), ("b", 2, 1)]
+
+    def blind(index, keys):
+        return keys.select("shard", "digest", F.lit(False).alias("hit"))
+    monkeypatch.setattr(cuckoo.CuckooIndex, "probe", blind)
+    assert entries() == [("a", 1, 1), ("a", 5, 1), ("b", 2, 1)]
+
+    def suspicious(index, keys):
+        return keys.select("shard", "digest", F.lit(True).alias("hit"))
+    monkeypatch.setattr(cuckoo.CuckooIndex, "probe", suspicious)
+    assert entries() == [("a", 1, 2), ("b", 2, 1)]                       # false hits are found out
+
+
+def test_exact_long_texts_and_clashing_names(spark):
+    long = "word  " * 200_000
+    schema = "doc_id long, text string, id long, digest string, shard int, hit boolean, keep_id long, group_size long, content string"
+    rows = [(i, t, 9, "x", 1, True, 0, 7, "c") for i, t in [(3, long), (1, long.replace("  ", "\n")), (2, long + "x")]]
+    got = cuckoo.exact_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False)]
+
+
 # --- near --------------------------------------------------------------------------------------------
 
 def shingles(text):
