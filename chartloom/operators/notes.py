@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chartloom.functions import labels, lexicon, text
 from chartloom.functions.stem import stem_text
-from chartloom.operators.grouping import concat_ordered, having_total, latest_per_group, pivot_max
+from chartloom.operators.grouping import concat_ordered, having_total, latest_per_group
 from chartloom.operators.joins import adults, interval_join
+from chartloom.operators.stems import StemStore, stem_by_vocabulary
 from chartloom.schemas import ADMISSION_KEYS, DOCUMENT_KEYS
+from chartloom.sources.checkpoints import materialise
 
 # in the order in which texts of one note are put together
 NOTE_TYPES = ["OT", "PT", "DS", "DD"]
@@ -73,38 +75,71 @@ def assign_types(lines: DataFrame, follow_up: bool, *, note: str = "NoteID", not
             .drop("is_ds", "note_ot", "note_pt", "note_ds"))
 
 
+def note_states(lines: DataFrame, follow_up: bool, *, keys: list[str] = ADMISSION_KEYS, note: str = "NoteID",
+                line: str = "LineNBR", note_text: str = "NoteTXT", note_type: str = "InpatientNoteTypeDSC",
+                contact: str = "ContactDTS", admit: str = "HospitalAdmitDTS", discharge: str = "HospitalDischargeDTS",
+                outcome_date: str = "Date_mrs_post_discharge") -> DataFrame:
+    """One row per note, admission and day: the day's types as `kinds`, the lines as a sorted array `pieces` of
+    (line, text, whether it has the DS tag). The rules are those of `assign_types`.
+
+    Lines are dealt by note once; the types of the whole note are a maximum over its rows where they lie. Lines
+    without a note id count for their day but give no text, so that they need not be gathered: each day of an
+    admission is a unit of its own for them.
+    """
+    low, high = (discharge, outcome_date) if follow_up else (admit, discharge)
+    days = list(dict.fromkeys([*keys, low, high, contact]))
+    said = line_types(F.col(note_text), F.col(note_type))
+    unit = F.when(F.col(note).isNull(), F.xxhash64(*days)).otherwise(F.xxhash64(note))
+    piece = F.when(F.col(note).isNotNull(), F.struct(
+        F.col(line).alias("line"), F.coalesce(F.col(note_text), F.lit("")).alias("text"), said["is_ds"].alias("is_ds")))
+    flagged = lines.select(unit.alias("_unit"), note, *days, *[c.alias(n) for n, c in said.items()], piece.alias("_piece"))
+    by_day = (flagged.repartition("_unit").groupBy("_unit", note, *days)
+              .agg(*[F.max(n).alias(n) for n in said], F.array_sort(F.collect_list("_piece")).alias("pieces")))
+    whole = Window.partitionBy("_unit", note)
+    of_note = {n: F.max(n).over(whole) & F.col(note).isNotNull() for n in said}
+    in_window = F.col(contact).between(F.col(low), F.col(high))
+    typed = by_day.withColumns({f"_{n}": c for n, c in of_note.items()})
+    kinds = F.array_compact(F.array(
+        F.when(F.col("_is_ot"), "OT"), F.when(F.col("_is_pt"), "PT"), F.when(F.col("is_ds"), "DS"),
+        F.when(in_window & ~(F.col("_is_ot") | F.col("_is_pt") | F.col("_is_ds")), "DD")))
+    return typed.select(note, *days, kinds.alias("kinds"), "pieces")
+
+
 def typed_notes(lines: DataFrame, follow_up: bool, *, keys: list[str] = ADMISSION_KEYS,
                 note: str = "NoteID", line: str = "LineNBR", note_text: str = "NoteTXT",
                 note_type: str = "InpatientNoteTypeDSC", contact: str = "ContactDTS",
                 admit: str = "HospitalAdmitDTS", discharge: str = "HospitalDischargeDTS",
                 outcome_date: str = "Date_mrs_post_discharge") -> DataFrame:
     """The latest notes of every type per admission as one text each, and for every type how many
-    days before the outcome they were written.
-
-    `lines` is read twice (typing, then text): hand in a stage table, not a long plan.
+    days before the outcome they were written. `lines` is read once, and texts are built for the latest days only.
     """
-    typed = assign_types(lines, follow_up, note=note, note_text=note_text, note_type=note_type,
+    states = note_states(lines, follow_up, keys=keys, note=note, line=line, note_text=note_text, note_type=note_type,
                          contact=contact, admit=admit, discharge=discharge, outcome_date=outcome_date)
-    latest = latest_per_group(typed, [*keys, "kind"], contact)
+    latest = latest_per_group(states.withColumn("kind", F.explode("kinds")), [*keys, "kind"], contact)
     reference = outcome_date if follow_up else discharge
-    days = F.datediff(F.col(reference), F.col(contact)).alias("days")
-    texts = concat_ordered(latest.withColumn("days", days), [*keys, "kind", "days", note],
-                           [line], note_text, out="Notes", dedupe=True)
-    # every type of an admission has one date left, so a pivot stands for four outer joins
-    per_admission = pivot_max(texts, keys, "kind", "days", NOTE_TYPES)
+    own = F.filter("pieces", lambda p: (F.col("kind") != "DS") | p["is_ds"])
+    whole = F.array_join(F.transform(own, lambda p: p["text"]), " ")
     rank = F.array_position(F.array(*[F.lit(k) for k in NOTE_TYPES]), F.col("kind"))
+    texts = (latest.withColumn("days", F.datediff(F.col(reference), F.col(contact))).na.drop(subset=["days", note])
+             .select(*keys, note, text.dedupe_words(text.collapse_whitespace(whole)).alias("Notes"), rank.alias("type_rank"), "kind", "days"))
+    # every type of an admission has one date left: a window next to the texts stands for four outer joins
+    admission = Window.partitionBy(*keys)
+    pivoted = texts.withColumns({f"{k}_days": F.max(F.when(F.col("kind") == k, F.col("days"))).over(admission) for k in NOTE_TYPES})
     # the same text under two types counts once, at the place of the first
-    distinct = texts.groupBy(*keys, note, "Notes").agg(F.min(rank).alias("type_rank"))
-    return distinct.join(per_admission, keys)
+    per_type = [f"{k}_days" for k in NOTE_TYPES]
+    distinct = pivoted.groupBy(*keys, note, "Notes", *per_type).agg(F.min("type_rank").alias("type_rank"))
+    return distinct.select(*keys, note, "Notes", "type_rank", *per_type)
 
 
 def normalise_notes(typed: DataFrame, stop_words: list[str], *, keys: list[str] = ADMISSION_KEYS,
-                    note: str = "NoteID", stem: bool = True) -> DataFrame:
-    """One normalised, stemmed text per admission and note."""
+                    note: str = "NoteID", stem: bool = True, stems: StemStore | None = None) -> DataFrame:
+    """One normalised, stemmed text per admission and note. With `stems`, only words that the relation lacks are
+    stemmed, and the normalised texts are written once in between; without, each task stems its own words."""
     whole = concat_ordered(typed, [*keys, note], ["type_rank"], "Notes")
     clean = whole.withColumn("Notes", text.normalise_note(F.col("Notes"), stop_words))
     if stem:
-        clean = clean.withColumn("Notes", stem_text("Notes"))
+        clean = (clean.withColumn("Notes", stem_text("Notes")) if stems is None
+                 else stem_by_vocabulary(materialise(clean), "Notes", stems))
         clean = clean.withColumn("Notes", text.dedupe_words(text.collapse_whitespace(F.col("Notes"))))
     return clean
 

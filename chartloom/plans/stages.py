@@ -17,6 +17,7 @@ from chartloom.operators import bootstrap, curves, extract, features, metrics, m
 from chartloom.operators.grouping import union_all
 from chartloom.operators.joins import attach, enrich
 from chartloom.operators.split import with_split
+from chartloom.operators.stems import StemStore
 from chartloom.schemas import DOCUMENT_KEYS
 from chartloom.sources.adapters import SiteAdapter, adapt
 from chartloom.sources.checkpoints import materialise
@@ -34,15 +35,16 @@ class NoteTables:
 
 
 def prepare_notes(admissions: DataFrame, note_lines: DataFrame, stop_words: list[str],
-                  cut: Cut = materialise) -> NoteTables:
-    """Stage 1: both cohorts' lines, typed notes and normalised notes, stacked with `follow_up`."""
+                  cut: Cut = materialise, stems: StemStore | None = None) -> NoteTables:
+    """Stage 1: both cohorts' lines, typed notes and normalised notes, stacked with `follow_up`. `stems` is the
+    stored relation of stems both cohorts share, if one is to be kept."""
     dis_lines = cut(notes.discharge_lines(admissions, note_lines))
     fup_lines = cut(notes.follow_up_lines(admissions, note_lines))
     dis = cut(notes.typed_notes(dis_lines, follow_up=False))
     fup = cut(notes.typed_notes(fup_lines, follow_up=True))
     clean = union_all(
-        notes.normalise_notes(dis, stop_words).withColumn("follow_up", F.lit(0)),
-        notes.normalise_notes(fup, stop_words).withColumn("follow_up", F.lit(1)))
+        notes.normalise_notes(dis, stop_words, stems=stems).withColumn("follow_up", F.lit(0)),
+        notes.normalise_notes(fup, stop_words, stems=stems).withColumn("follow_up", F.lit(1)))
     return NoteTables(fup_lines, dis, fup, cut(clean))
 
 

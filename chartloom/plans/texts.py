@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartloom.functions import lexicon, stem, text
+from chartloom.functions import lexicon, text
+from chartloom.operators import stems
 from chartloom.plans.registry import Tables, query
+from chartloom.sources.checkpoints import materialise
 
 # words of letters and digits of any script, lower case: engines disagree about what else is in a word
 PLAIN_SQL = r"trim(regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{Nd} ]', ' ', 'g')), ' +', ' ', 'g'))"
@@ -139,9 +141,93 @@ def tokenize(t: Tables):
     return t.texts.select("doc_id", F.array_join(text.tokenize(s), "|").alias("tokens"))
 
 
-@query()
+def suffix_sql(table: str) -> str:
+    """The longest suffix of the table that the word `w` ends with."""
+    return f"(SELECT arg_max(suffix, length(suffix)) FROM {table} WHERE ends_with(w, suffix))"
+
+
+def measure_sql(cut: str) -> str:
+    """Vowel-consonant runs of the word without its last `cut` letters, from its shape `s`."""
+    return f"len(regexp_extract_all(left(s, greatest(length(w) - ({cut}), 0)), 'v+c+'))"
+
+
+def short_sql(word: str, shape: str) -> str:
+    return f"({shape} = 'vc' OR (right({shape}, 3) = 'cvc' AND right({word}, 1) NOT IN ('w', 'x', 'y')))"
+
+
+SHAPE_SQL = ("CASE WHEN w = '' THEN '' ELSE list_reduce(list_concat([''], string_split(w, '')), lambda s, x: s || CASE WHEN x IN "
+             "('a', 'e', 'i', 'o', 'u') OR (x = 'y' AND right(s, 1) = 'c') THEN 'v' ELSE 'c' END) END AS s")
+
+# the published suffix rules, one step after the other, on the relation `words` (token); `stems` is the result
+STEMS_SQL = f"""
+irregular(token, stem) AS (VALUES ('sky', 'sky'), ('skies', 'sky'), ('dying', 'die'), ('lying', 'lie'), ('tying', 'tie'), ('news', 'news'),
+    ('innings', 'inning'), ('inning', 'inning'), ('outings', 'outing'), ('outing', 'outing'), ('cannings', 'canning'),
+    ('canning', 'canning'), ('howe', 'howe'), ('proceed', 'proceed'), ('exceed', 'exceed'), ('succeed', 'succeed')),
+double(suffix, new) AS (VALUES ('ational', 'ate'), ('tional', 'tion'), ('enci', 'ence'), ('anci', 'ance'), ('izer', 'ize'), ('bli', 'ble'),
+    ('alli', 'al'), ('entli', 'ent'), ('eli', 'e'), ('ousli', 'ous'), ('ization', 'ize'), ('ation', 'ate'), ('ator', 'ate'),
+    ('alism', 'al'), ('iveness', 'ive'), ('fulness', 'ful'), ('ousness', 'ous'), ('aliti', 'al'), ('iviti', 'ive'),
+    ('biliti', 'ble'), ('fulli', 'ful'), ('logi', 'log')),
+inner_(suffix, new) AS (VALUES ('icate', 'ic'), ('ative', ''), ('alize', 'al'), ('iciti', 'ic'), ('ical', 'ic'), ('ful', ''), ('ness', '')),
+bare(suffix) AS (VALUES ('al'), ('ance'), ('ence'), ('er'), ('ic'), ('able'), ('ible'), ('ant'), ('ement'), ('ment'), ('ent'),
+    ('ion'), ('ou'), ('ism'), ('ate'), ('iti'), ('ous'), ('ive'), ('ize')),
+plural AS (SELECT token, CASE WHEN ends_with(w, 'sses') THEN left(w, length(w) - 2)
+    WHEN ends_with(w, 'ies') THEN left(w, length(w) - if(length(w) = 4, 1, 2))
+    WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END AS w
+    FROM (SELECT token, lower(token) AS w FROM words)),
+past1 AS (SELECT *, CASE WHEN ends_with(w, 'ied') OR ends_with(w, 'eed') THEN 0
+    WHEN ends_with(w, 'ed') AND contains(left(s, length(w) - 2), 'v') THEN 2
+    WHEN ends_with(w, 'ing') AND contains(left(s, length(w) - 3), 'v') THEN 3 ELSE 0 END AS cut
+    FROM (SELECT token, w, {SHAPE_SQL} FROM plural)),
+past2 AS (SELECT *, left(w, length(w) - cut) AS t, left(s, length(w) - cut) AS ts FROM past1),
+past AS (SELECT token, CASE WHEN ends_with(w, 'ied') THEN left(w, length(w) - if(length(w) = 4, 1, 2))
+    WHEN ends_with(w, 'eed') THEN if({measure_sql('3')} > 0, left(w, length(w) - 1), w)
+    WHEN cut = 0 THEN w
+    WHEN ends_with(t, 'at') OR ends_with(t, 'bl') OR ends_with(t, 'iz') THEN t || 'e'
+    WHEN length(t) > 1 AND right(t, 1) = left(right(t, 2), 1) AND right(ts, 1) = 'c'
+        THEN if(right(t, 1) IN ('l', 's', 'z'), t, left(t, length(t) - 1))
+    WHEN {measure_sql('cut')} = 1 AND {short_sql('t', 'ts')} THEN t || 'e' ELSE t END AS w FROM past2),
+final_y AS (SELECT token, CASE WHEN ends_with(w, 'y') AND length(w) > 2 AND right(left(s, length(w) - 1), 1) = 'c'
+    THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM (SELECT token, w, {SHAPE_SQL} FROM past)),
+double1 AS (SELECT token, w, {SHAPE_SQL}, {suffix_sql('double')} AS f FROM final_y),
+double2 AS (SELECT token, CASE WHEN f IS NOT NULL AND {measure_sql("length(f) - if(f = 'logi', 1, 0)")} > 0
+    THEN left(w, length(w) - length(f)) || (SELECT new FROM double WHERE suffix = f) ELSE w END AS w,
+    f = 'alli' AND {measure_sql('4')} > 0 AS again FROM double1),
+double3 AS (SELECT token, w, again, {SHAPE_SQL}, {suffix_sql('double')} AS f FROM double2),
+double4 AS (SELECT token, CASE WHEN again AND f IS NOT NULL AND {measure_sql("length(f) - if(f = 'logi', 1, 0)")} > 0
+    THEN left(w, length(w) - length(f)) || (SELECT new FROM double WHERE suffix = f) ELSE w END AS w FROM double3),
+inner1 AS (SELECT token, w, {SHAPE_SQL}, {suffix_sql('inner_')} AS f FROM double4),
+inner2 AS (SELECT token, CASE WHEN f IS NOT NULL AND {measure_sql('length(f)')} > 0
+    THEN left(w, length(w) - length(f)) || (SELECT new FROM inner_ WHERE suffix = f) ELSE w END AS w FROM inner1),
+bare1 AS (SELECT token, w, {SHAPE_SQL}, {suffix_sql('bare')} AS f FROM inner2),
+bare2 AS (SELECT token, CASE WHEN f IS NOT NULL AND {measure_sql('length(f)')} > 1
+        AND (f <> 'ion' OR right(left(w, length(w) - 3), 1) IN ('s', 't'))
+    THEN left(w, length(w) - length(f)) ELSE w END AS w FROM bare1),
+tidy1 AS (SELECT token, w, {SHAPE_SQL}, left(w, length(w) - 1) AS t FROM bare2),
+tidy2 AS (SELECT token, s, CASE WHEN ends_with(w, 'e') AND ({measure_sql('1')} > 1
+    OR ({measure_sql('1')} = 1 AND NOT {short_sql('t', 'left(s, length(w) - 1)')})) THEN t ELSE w END AS w FROM tidy1),
+tidy3 AS (SELECT token, CASE WHEN ends_with(w, 'll') AND {measure_sql('1')} > 1 THEN left(w, length(w) - 1) ELSE w END AS w FROM tidy2),
+stems AS (SELECT token, CASE WHEN i.stem IS NOT NULL THEN i.stem WHEN length(token) <= 2 THEN lower(token) ELSE w END AS stem
+    FROM tidy3 LEFT JOIN irregular i USING (token))"""
+
+
+@query(f"""
+WITH words AS (SELECT DISTINCT unnest({WORDS_SQL}) AS token FROM documents), {STEMS_SQL},
+placed AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, {WORDS_SQL} AS ws FROM documents)),
+rebuilt AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY pos) AS text FROM placed JOIN stems USING (token) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.text, '') END AS text FROM documents d LEFT JOIN rebuilt r USING (doc_id)""")
 def stem_tokens(t: Tables):
-    return t.texts.select("doc_id", stem.stem_text(plain()).alias("text"))
+    return stems.stem_by_vocabulary(materialise(t.texts.select("doc_id", plain().alias("text"))), "text")
+
+
+@query(f"""
+WITH words AS (SELECT DISTINCT unnest({WORDS_SQL}) AS token FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)), {STEMS_SQL}
+SELECT token, stem FROM stems""")
+def stem_relation(t: Tables):
+    """The benchmark adds only the words that no document has."""
+    store = stems.StemStore(t.spark)
+    for table in (t.texts, t.benchmark):
+        store.learn(table.select(plain().alias("text")), "text")
+    return store.read()
 
 
 @query(rf"""

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartloom.operators import extract, notes, report
+from chartloom.operators.stems import StemStore
 from chartloom.plans import stages
-from chartloom.schemas import ADMISSIONS, NOTE_LINES, VISIT_KEYS
+from chartloom.schemas import ADMISSION_KEYS, ADMISSIONS, NOTE_LINES, VISIT_KEYS
 from chartloom.sources.tables import parse_dates, read_note_lines, read_terms, write_csv, write_stage
 
 
@@ -77,6 +78,54 @@ def test_note_in_two_types_counts_once_when_texts_agree(spark):
     assert [(r.Notes, r.type_rank) for r in typed.collect()] == [("Physical therapy eval", 2)]
     clean = notes.normalise_notes(typed, ["the"])
     assert clean.first().Notes == "physic therapi eval"
+    store = StemStore(spark)
+    assert notes.normalise_notes(typed, ["the"], stems=store).collect() == clean.collect()
+    assert {r.token for r in store.read().collect()} == {"physical", "therapy", "eval"}
+
+
+def test_types_like_lines_typed_one_by_one(spark):
+    """Against `assign_types` and plain Python: null ids, dates and texts, repeated lines, notes over several days."""
+    people = admissions(spark, [(1, "Male", 60, "1/10/2017", "1/20/2017", 3, None, None), (1, "Male", 60, "1/12/2017", "1/22/2017", 2, None, None),
+                                (2, "Female", 70, "1/1/2017", "1/30/2017", 1, None, None)])
+    rng = random.Random(5)
+    tags = [None, None, None, "PHS IP OT Discharge Box", "PHS IP PT Discharge Box", "Discharge Summary", "Progress"]
+    texts = ["x", "y y", None, "", "Physical therapy eval", "Occupational Therapy 3"]
+    rows = [(rng.choice([1, 1, 1, 2]), rng.choice([None, *range(12)]), rng.choice([1, 2, 3, None]), f"1/{rng.randint(8, 24)}/2017",
+             rng.choice(tags), rng.choice(texts)) for _ in range(160)]
+    cohort = notes.discharge_lines(people, lines(spark, rows + rows[:20]))
+    latest, pieces = {}, {}
+    for r in notes.assign_types(cohort, False).collect():
+        admission = tuple(r[k] for k in ADMISSION_KEYS)
+        if None in admission:
+            continue
+        day = latest.get((admission, r.kind))
+        if day is None or r.ContactDTS > day:
+            latest[admission, r.kind] = r.ContactDTS
+        pieces.setdefault((admission, r.kind, r.NoteID, r.ContactDTS), []).append((r.LineNBR is not None, r.LineNBR or 0, r.NoteTXT or ""))
+    wanted, dates = {}, {}
+    for (admission, kind, note, day), parts in pieces.items():
+        if note is None or latest[admission, kind] != day:
+            continue
+        words = " ".join(t for _, _, t in sorted(parts)).split()
+        text = " ".join(w for i, w in enumerate(words) if i == 0 or w != words[i - 1])
+        place = notes.NOTE_TYPES.index(kind) + 1
+        key = (admission, note, text)
+        wanted[key] = min(place, wanted.get(key, 9))
+        dates[admission, kind] = (admission[ADMISSION_KEYS.index("HospitalDischargeDTS")] - day).days
+    got = notes.typed_notes(cohort, False).collect()
+    assert len(got) == len(wanted) > 10
+    for r in got:
+        admission = tuple(r[k] for k in ADMISSION_KEYS)
+        assert wanted[admission, r.NoteID, r.Notes] == r.type_rank
+        assert [r[f"{k}_days"] for k in notes.NOTE_TYPES] == [dates.get((admission, k)) for k in notes.NOTE_TYPES]
+
+
+def test_typing_reads_the_lines_once(spark, tmp_path):
+    people = admissions(spark, [(1, "Male", 60, "1/10/2017", "1/20/2017", 3, None, None)])
+    notes.discharge_lines(people, lines(spark, [(1, 10, 1, "1/18/2017", None, "x")])).write.parquet(str(tmp_path / "lines"))
+    df = notes.typed_notes(spark.read.parquet(str(tmp_path / "lines")), False)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan and df.count() == 1
 
 
 def test_extraction_modes(spark):
