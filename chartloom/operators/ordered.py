@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from chartloom.sources.checkpoints import materialise
+
 
 def range_bounds(df: DataFrame, order: str) -> list[float]:
     """Cut points from Spark's quantile sketch: as many ranges as the session has shuffle partitions,
@@ -124,22 +126,56 @@ def with_average_rank(df: DataFrame, keys: list[str], value: str, weight: str, o
     return inside.join(carried, [*keys, "_range"]).select(*df.columns, rank.alias(out), f"{out}_all")
 
 
+# the sketch is right to a rank of rows / SKETCH; a bracket reaches four times as far to either side
+SKETCH = 2000
+REACH = 4 / SKETCH
+
+
+def _bracketed(rows: DataFrame, keys: list[str], value: str, wanted: list[float]) -> DataFrame:
+    """Per key, the values near the wanted quantiles and what lies between them, as entries (`_lo`, `_hi`, `_n`):
+    a value inside a bracket with its count, or everything between two brackets as one entry from its smallest
+    to its largest value. Brackets come from a mergeable sketch; the entries from one aggregate over all rows."""
+    marks = [max(0.0, min(1.0, p + side)) for p in wanted for side in (-REACH, REACH)]
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx(value, marks, SKETCH).alias("_marks"),
+                                     F.min(value).alias("_min"), F.max(value).alias("_max"))
+    brackets = sketch.select(*keys, *[
+        c for i, p in enumerate(wanted) for c in (
+            (F.col("_min") if p <= REACH else F.col("_marks")[2 * i]).alias(f"_low{i}"),
+            (F.col("_max") if p >= 1 - REACH else F.col("_marks")[2 * i + 1]).alias(f"_high{i}"))])
+    at = F.col(value)
+    inside, gap = F.lit(False), F.lit(0)
+    for i in range(len(wanted)):
+        inside = inside | at.between(F.col(f"_low{i}"), F.col(f"_high{i}"))
+        gap = gap + F.when(at > F.col(f"_high{i}"), 1).otherwise(0)
+    placed = rows.join(brackets, keys).select(*keys, value, gap.alias("_gap"), F.when(inside, at).alias("_own"))
+    return placed.groupBy(*keys, "_gap", "_own").agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")).drop("_gap", "_own")
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per named probability.
+    """Exact quantiles with linear interpolation, one column per named probability. Nulls are skipped; rows with a
+    null key drop out.
 
-    Equal values are counted first; a group's values are never gathered in one task.
+    Selection, not a sort: only the values inside the sketch's brackets, a few per cent of the rows, are put in
+    order, equal ones counted first. The bracket of a probability and the two entries next to it hold the
+    position asked for; should a sketch ever be worse than it promises, the query fails and does not guess.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    scan = ordered_scan(counted, keys, value, sums=["_n"], leads=[value])
+    group = list(keys) or ["_all"]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value) if keys else (
+        df.where(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), value))
+    entries = materialise(_bracketed(rows, group, value, sorted(set(probabilities.values()))))
+    scan = ordered_scan(entries, group, "_lo", sums=["_n"], leads=["_lo"])
 
     def share(p):
-        # 0-based target position; it falls on this value or between it and the next
+        # 0-based target position; it falls on an entry or between it and the next
         target = (F.col("all__n") - 1) * F.lit(p)
         last = F.col("cum__n") - 1
         first = F.col("cum__n") - F.col("_n")
-        on = F.when((target >= first) & (target <= last), F.col(value))
+        lost = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        on = F.when((target >= first) & (target <= last), F.when((F.col("_lo") == F.col("_hi")) | (target == first), F.col("_lo"))
+                    .when(target == last, F.col("_hi")).otherwise(lost))
         between = F.when((target > last) & (target < last + 1),
-                         F.col(value) + (F.col(f"next_{value}") - F.col(value)) * (target - last))
+                         F.col("_hi") + (F.col("next__lo") - F.col("_hi")) * (target - last))
         return F.max(F.coalesce(on, between))
 
-    return scan.groupBy(*keys).agg(*[share(p).alias(name) for name, p in probabilities.items()])
+    return scan.groupBy(*group).agg(*[share(p).alias(name) for name, p in probabilities.items()]).select(*keys, *probabilities)
