@@ -10,7 +10,6 @@ from chartloom.operators.grouping import concat_ordered, having_total, latest_pe
 from chartloom.operators.joins import adults, interval_join
 from chartloom.operators.stems import StemStore, stem_by_vocabulary
 from chartloom.schemas import ADMISSION_KEYS, DOCUMENT_KEYS
-from chartloom.sources.checkpoints import materialise
 
 # in the order in which texts of one note are put together
 NOTE_TYPES = ["OT", "PT", "DS", "DD"]
@@ -134,12 +133,12 @@ def typed_notes(lines: DataFrame, follow_up: bool, *, keys: list[str] = ADMISSIO
 def normalise_notes(typed: DataFrame, stop_words: list[str], *, keys: list[str] = ADMISSION_KEYS,
                     note: str = "NoteID", stem: bool = True, stems: StemStore | None = None) -> DataFrame:
     """One normalised, stemmed text per admission and note. With `stems`, only words that the relation lacks are
-    stemmed, and the normalised texts are written once in between; without, each task stems its own words."""
+    stemmed, and the normalised texts are written once, as chunks; without, each task stems its own words."""
     whole = concat_ordered(typed, [*keys, note], ["type_rank"], "Notes")
     clean = whole.withColumn("Notes", text.normalise_note(F.col("Notes"), stop_words))
     if stem:
         clean = (clean.withColumn("Notes", stem_text("Notes")) if stems is None
-                 else stem_by_vocabulary(materialise(clean), "Notes", stems))
+                 else stem_by_vocabulary(clean, "Notes", stems))
         clean = clean.withColumn("Notes", text.dedupe_words(text.collapse_whitespace(F.col("Notes"))))
     return clean
 

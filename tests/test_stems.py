@@ -63,3 +63,28 @@ def test_a_hot_word_meets_the_relation_once(spark):
     assert store.read().count() == 2002
     got = stems.rebuild_by_position(df, "text", store)
     assert got.where("text LIKE 'the walk %'").count() == 2000
+
+
+def test_a_word_travels_once_per_chunk(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.concat(F.lit("the walking dogs "), F.col("id").cast("string")).alias("text")).coalesce(2)
+    store = stems.StemStore(spark)
+    chunks = stems.chunked(df, "text")
+    assert chunks.count() == 2 and chunks.select(F.explode("words")).count() == 3000 + 2 * 3
+    store.learn_tokens(chunks.select(F.explode("words").alias("token")).distinct())
+    got = stems.rebuild_chunks(chunks, df, "text", store, broadcast_bytes=-1)
+    assert got.orderBy("id").collect() == df.withColumn("text", stem_text("text")).orderBy("id").collect()
+    # short chunks hold the same rows in the same way, a text beyond the limit included
+    small = stems.chunked(table(spark), "text", chunk_bytes=40)
+    assert small.count() > 3
+    got = stems.rebuild_chunks(small, table(spark), "text", store, broadcast_bytes=-1)
+    assert got.count() == len(TEXTS) and got.where("id = 4").first().text == "walks"
+
+
+def test_no_row_per_word_of_a_text(spark):
+    """Only the chunks' lists of words meet the relation."""
+    df = spark.range(50).select(F.repeat(F.lit("walking dogs "), 400).alias("text")).coalesce(1)
+    store = stems.StemStore(spark)
+    got = stems.stem_by_vocabulary(df, "text", store, broadcast_bytes=0)
+    assert got.distinct().collect() == [(("walk dog " * 400).strip(),)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(words" in plan and "split(" not in plan
