@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from chartloom.functions.messages import pack, unpack
 from chartloom.functions.stem import stem_text
 from chartloom.sources.checkpoints import checkpoint_dir, materialise
 
@@ -92,20 +93,17 @@ def _stretches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Tab
 def chunked(df: DataFrame, column: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, words, message): the rows of `df` as chunks, stored. `words` lists a chunk's words, each once;
     `message` holds the other columns and the texts as numbers in that list. `df` is read once."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _stretches(batches, chunk_bytes):
             texts = rows.column("text").combine_chunks().cast(pa.large_string())
             split = pc.split_pattern(pc.fill_null(texts, ""), " ")
             coded = split.flatten().dictionary_encode()
             lists = pa.ListArray.from_arrays(split.offsets.cast(pa.int32()), coded.indices)
             table = pa.table([rows.column("rest").combine_chunks(), lists, texts.is_valid()], names=["rest", "at", "valid"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
             words = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([words, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["words", "message"])
+            yield pa.RecordBatch.from_arrays([words, pa.array([pack(table)], pa.binary())], ["words", "message"])
 
-    chunks = _packed(df, column).mapInArrow(pack, "words array<string>, message binary")
+    chunks = _packed(df, column).mapInArrow(bundle, "words array<string>, message binary")
     return materialise(chunks.select(F.monotonically_increasing_id().alias("chunk"), "words", "message"))
 
 
@@ -135,9 +133,8 @@ def rebuild_chunks(chunks: DataFrame, df: DataFrame, column: str, store: StemSto
                     place = np.arange(len(words))
                     place[batch.column(2)[i].values.to_numpy()] = len(words) + np.arange(len(batch.column(2)[i].values))
                     words = pa.concat_arrays([words, batch.column(3)[i].values.cast(pa.large_string())]).take(pa.array(place))
-                with pa.ipc.open_stream(batch.column(1)[i].as_buffer()) as stored:
-                    for rows in stored:
-                        yield pa.RecordBatch.from_arrays([rows.column("rest"), _joined(words, rows.column("at"), rows.column("valid"))], ["rest", "text"])
+                for rows in unpack(batch.column(1)[i]):
+                    yield pa.RecordBatch.from_arrays([rows.column("rest"), _joined(words, rows.column("at"), rows.column("valid"))], ["rest", "text"])
 
     schema = T.StructType([_packed(df, column).schema["rest"], T.StructField("text", T.StringType())])
     return found.mapInArrow(work, schema).select(*[_same(c, column) for c in df.columns])

@@ -106,3 +106,30 @@ def test_codes_of_very_many_words_do_not_overflow():
 def test_no_documents(spark):
     none = spark.createDataFrame([], "i int, t string")
     assert heavy.frequent_ngrams(none, "t") == [] and features.presence(none, ["i"], "t", ["a"]).collect() == []
+
+
+def test_texts_are_made_words_once(spark, monkeypatch):
+    docs = corpus("spread", 400)
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, t string").coalesce(2)
+    made, tokens = [], heavy._tokens
+    monkeypatch.setattr(heavy, "_tokens", lambda *x: made.append(x) or tokens(*x))
+    true = counted(docs)
+    want = sorted((t for t, n in true.items() if n * 10 > len(docs)), key=lambda t: (len(t.split()), t))
+    assert heavy.candidates(df, "t").exact is None
+    made.clear()
+    assert heavy.frequent_ngrams(df, "t") == want
+    assert len(made) == 1
+
+
+@pytest.mark.parametrize("base", [50, 2**31])
+def test_both_ways_of_counting_a_run(base):
+    """A code that can be read back, and one that can not; a word numbered -1 is in no n-gram."""
+    rng = np.random.default_rng(3)
+    document, words = np.sort(rng.integers(0, 30, 900)), rng.integers(-1, 6, 900)
+    for n in (1, 2, 3):
+        true = Counter()
+        for d in range(30):
+            own = words[document == d].tolist()
+            true.update({tuple(own[i:i + n]) for i in range(len(own) - n + 1) if min(own[i:i + n]) >= 0})
+        lines, count = heavy._in_more(document, words, base, n, 30, 4)
+        assert dict(zip(map(tuple, lines.tolist()), count.tolist())) == {g: c for g, c in true.items() if c > 4}
