@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from chartloom.functions.hashing import PRIME, with_draw, with_row_seeds
 from chartloom.operators import curves, metrics
 from chartloom.operators.ordered import positions, range_bounds, with_range
-from chartloom.operators.replicates import REPLICATES, VECTOR, Rows, combined, poisson_cuts, replicate_sums, scan, seeded, summed
+from chartloom.operators.replicates import REPLICATES, VECTOR, Rows, combined, draws, poisson_cuts, replicate_sums, scan, seeded, summed
+
+STRETCH = 4096            # positions that meet their draws at once
+DRAW_ROWS = 1024          # rows whose draws are held at once
+TASK_ROWS = 16384         # rows of a task that draws
 
 
 def poisson_weight(draw: Column) -> Column:
@@ -34,18 +40,56 @@ def replicate(df: DataFrame, row_key: str | list[str], replicates: int = REPLICA
     return drawn.withColumn("w", poisson_weight(F.col("_draw"))).drop("_row", "_row2", "_draw")
 
 
+def _drawn(seeds: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
+    """(_stretch, draws): every row of `seeds` draws one position of `n` in each replicate. The draws of a block of rows that fall
+    into one stretch are one message, a replicate and a place within the stretch for each."""
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replicate = np.arange(replicates, dtype=np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, DRAW_ROWS):
+                row, row2 = (batch.column(c).slice(start, DRAW_ROWS).to_numpy() for c in ("_row", "_row2"))
+                # the same division of doubles as in SQL
+                position = ((draws(row, row2, replicates, seed) * n) / PRIME).astype(np.int64)
+                stretch = position // STRETCH
+                code = (replicate * STRETCH + position - stretch * STRETCH).astype(np.uint32).ravel()
+                by = np.argsort(stretch, axis=None, kind="stable")
+                stretch, code = stretch.ravel()[by], code[by]
+                first = np.flatnonzero(np.diff(stretch, prepend=-1))
+                ends = np.append(first, len(stretch))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(stretch[first]), pa.array([code[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["_stretch", "draws"])
+
+    return seeds.mapInArrow(draw, "_stretch long, draws binary")
+
+
 def resample(df: DataFrame, order: str, replicates: int = REPLICATES, seed: int = 1) -> DataFrame:
     """(rep, w, columns): n draws with replacement by position along the unique `order`.
 
-    Moves a row per draw, where `replicate` moves none; both are exact.
+    Moves four bytes per draw, where `replicate` moves none; both are exact. Rows and draws meet by stretches of
+    positions: a task holds the draws of one stretch and its rows.
     """
-    n = df.count()
-    place = positions(df, order).drop("position_count")
-    draws = with_row_seeds(df.sparkSession.range(replicates * n).withColumn("rep", (F.col("id") / n).cast("int")), F.col("id") % n)
-    times = (with_draw(draws, "rep", seed, "_draw")
-             .select("rep", (F.col("_draw") * n / PRIME).cast("long").alias("position"))
-             .groupBy("rep", "position").agg(F.count(F.lit(1)).alias("w")))
-    return times.join(place, "position").drop("position")
+    if replicates * STRETCH > 2**32:
+        raise ValueError(f"at most {2**32 // STRETCH} replicates")
+    n, spark = df.count(), df.sparkSession
+    place = (positions(df, order).drop("position_count").where("position IS NOT NULL")
+             .withColumn("_stretch", F.floor(F.col("position") / STRETCH).cast("long")))
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    seeds = with_row_seeds(spark.range(0, n, 1, parts), F.col("id")).select("_row", "_row2")
+    schema = StructType().add("rep", "integer").add("w", "long")
+    for field in df.schema:
+        schema = schema.add(field)
+    arrow, names = to_arrow_schema(schema), df.columns
+
+    def meet(rows: pa.Table, messages: pa.Table) -> pa.Table:
+        codes = [np.frombuffer(m.as_buffer(), dtype=np.uint32) for m in messages.column("draws")]
+        counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *codes]), minlength=replicates * STRETCH)
+        at = rows.column("position").to_numpy() % STRETCH
+        w = counts.reshape(replicates, STRETCH)[:, at]
+        rep, row = np.nonzero(w)
+        found = rows.select(names).take(pa.array(row))
+        return pa.Table.from_arrays([pa.array(rep.astype(np.int32)), pa.array(w[rep, row]), *found.columns], names=schema.names).cast(arrow)
+
+    return place.groupBy("_stretch").cogroup(_drawn(seeds, n, replicates, seed).groupBy("_stretch")).applyInArrow(meet, schema)
 
 
 def interval(df: DataFrame, keys: list[str], value: str, clamp: bool = False) -> DataFrame:

@@ -50,11 +50,15 @@ def _residues(row: np.ndarray, replicate: np.ndarray, seed: int) -> np.ndarray:
     return ((first ^ (first >> 15)) % PRIME * 630360016 + factor) % PRIME
 
 
+def draws(row: np.ndarray, row2: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Residues, one line per row and one column per replicate."""
+    replicate = np.arange(replicates, dtype=np.int64)
+    return (_residues(row, replicate, seed) + _residues(row2, replicate, seed + SECOND)) % PRIME
+
+
 def weights(row: np.ndarray, row2: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """Poisson(1) weights, one line per row and one column per replicate."""
-    replicate = np.arange(replicates, dtype=np.int64)
-    drawn = (_residues(row, replicate, seed) + _residues(row2, replicate, seed + SECOND)) % PRIME
-    return np.searchsorted(CUTS, drawn, side="right").astype(np.float64)
+    return np.searchsorted(CUTS, draws(row, row2, replicates, seed), side="right").astype(np.float64)
 
 
 def seeded(df: DataFrame, row_key: str | list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.functions import hashing
 from chartloom.operators import bootstrap, curves, metrics, replicates
 from chartloom.operators.ordered import with_average_rank
 
@@ -113,3 +114,30 @@ def test_no_row_is_repeated_per_replicate(spark, rows):
     for made in (bootstrap.bootstrap_spearman(rows, "id", "mrs", "y_pred", [], N), bootstrap.bootstrap_binary(rows, "id", [], N)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "sequence(0" not in plan and "explode(" not in plan
+
+
+@pytest.mark.parametrize("stretch, block", [(4096, 1024), (16, 50)])
+def test_resample_like_a_row_per_draw(spark, monkeypatch, stretch, block):
+    monkeypatch.setattr(bootstrap, "STRETCH", stretch)
+    monkeypatch.setattr(bootstrap, "DRAW_ROWS", block)
+    df = spark.createDataFrame([(3 * i, f"t{i % 7}" if i % 5 else None, i / 7) for i in range(230)], "i long, t string, v double").repartition(3)
+    n = df.count()
+    every = hashing.with_row_seeds(spark.range(N * n).withColumn("rep", (F.col("id") / n).cast("int")), F.col("id") % n)
+    times = (hashing.with_draw(every, "rep", 9, "_draw").select("rep", (F.col("_draw") * n / hashing.PRIME).cast("long").alias("position"))
+             .groupBy("rep", "position").agg(F.count(F.lit(1)).alias("w")))
+    want = times.join(bootstrap.positions(df, "i").drop("position_count"), "position").drop("position")
+    got = bootstrap.resample(df, "i", N, 9)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.agg(F.sum("w")).first()[0] == N * n
+    # rows are drawn in blocks; there is no row per draw before the rows drawn
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Range (0, {n}," in plan
+
+
+def test_resample_odd_rows(spark):
+    none = spark.createDataFrame([], "i long, v double")
+    assert bootstrap.resample(none, "i", 5).collect() == []
+    twice = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, None), (None, 4.0)], "i long, v double")
+    got = bootstrap.resample(twice, "i", 40)
+    assert got.where("i IS NULL").count() == 0 and got.where("i = 2 AND v IS NULL").count() > 10
