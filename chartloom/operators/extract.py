@@ -109,12 +109,14 @@ def mention_notes(lines: DataFrame, *, keys: list[str] = VISIT_KEYS) -> DataFram
 def closest(df: DataFrame, keys: list[str], days: str, horizon: int = 30,
             mode: str = "as_observed") -> DataFrame:
     """Mentions near the follow-up. `as_observed` keeps every row within the horizon; `closest`
-    also keeps only the nearest day per admission."""
+    also keeps only the nearest day per admission. The nearest day is looked for within the horizon: if it
+    lies beyond, nothing is kept."""
+    near = df.where(F.col(days) <= horizon)
     if mode == "closest":
-        df = latest_per_group(df, keys, days, descending=False)
-    elif mode != "as_observed":
+        return latest_per_group(near, keys, days, descending=False)
+    if mode != "as_observed":
         raise ValueError(f"unknown mode {mode!r}")
-    return df.where(F.col(days) <= horizon)
+    return near
 
 
 def mention_extractions(lines: DataFrame, *, keys: list[str] = VISIT_KEYS, horizon: int = 30,
