@@ -88,11 +88,12 @@ def note_states(lines: DataFrame, follow_up: bool, *, keys: list[str] = ADMISSIO
     low, high = (discharge, outcome_date) if follow_up else (admit, discharge)
     days = list(dict.fromkeys([*keys, low, high, contact]))
     said = line_types(F.col(note_text), F.col(note_type))
-    unit = F.when(F.col(note).isNull(), F.xxhash64(*days)).otherwise(F.xxhash64(note))
+    # a note is dealt by its id; the hash that spreads lines without one is a constant elsewhere, which costs nothing on the way
+    unit = F.when(F.col(note).isNull(), F.xxhash64(*days)).otherwise(F.lit(0).cast("long"))
     piece = F.when(F.col(note).isNotNull(), F.struct(
         F.col(line).alias("line"), F.coalesce(F.col(note_text), F.lit("")).alias("text"), said["is_ds"].alias("is_ds")))
     flagged = lines.select(unit.alias("_unit"), note, *days, *[c.alias(n) for n, c in said.items()], piece.alias("_piece"))
-    by_day = (flagged.repartition("_unit").groupBy("_unit", note, *days)
+    by_day = (flagged.repartition(note, "_unit").groupBy("_unit", note, *days)
               .agg(*[F.max(n).alias(n) for n in said], F.array_sort(F.collect_list("_piece")).alias("pieces")))
     whole = Window.partitionBy("_unit", note)
     of_note = {n: F.max(n).over(whole) & F.col(note).isNotNull() for n in said}
@@ -110,14 +111,18 @@ def typed_notes(lines: DataFrame, follow_up: bool, *, keys: list[str] = ADMISSIO
                 admit: str = "HospitalAdmitDTS", discharge: str = "HospitalDischargeDTS",
                 outcome_date: str = "Date_mrs_post_discharge") -> DataFrame:
     """The latest notes of every type per admission as one text each, and for every type how many
-    days before the outcome they were written. `lines` is read once, and texts are built for the latest days only.
+    days before the outcome they were written. `lines` is read once; texts are tidied for the latest days only.
     """
     states = note_states(lines, follow_up, keys=keys, note=note, line=line, note_text=note_text, note_type=note_type,
                          contact=contact, admit=admit, discharge=discharge, outcome_date=outcome_date)
-    latest = latest_per_group(states.withColumn("kind", F.explode("kinds")), [*keys, "kind"], contact)
     reference = outcome_date if follow_up else discharge
     own = F.filter("pieces", lambda p: (F.col("kind") != "DS") | p["is_ds"])
-    whole = F.array_join(F.transform(own, lambda p: p["text"]), " ")
+    # a day travels to its admission as one text; there it stays, as whatever follows is grouped by admission and more. Notes
+    # are dealt by their ids, so that a task before this holds few of an admission's days and could leave out few
+    dealt = (states.withColumn("kind", F.explode("kinds")).na.drop(subset=[*keys, contact])
+             .select(*dict.fromkeys([*keys, note, reference, contact]), "kind", F.array_join(F.transform(own, lambda p: p["text"]), " ").alias("_text"))
+             .repartition(*keys))
+    latest, whole = latest_per_group(dealt, [*keys, "kind"], contact), F.col("_text")
     rank = F.array_position(F.array(*[F.lit(k) for k in NOTE_TYPES]), F.col("kind"))
     texts = (latest.withColumn("days", F.datediff(F.col(reference), F.col(contact))).na.drop(subset=["days", note])
              .select(*keys, note, text.dedupe_words(text.collapse_whitespace(whole)).alias("Notes"), rank.alias("type_rank"), "kind", "days"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chartloom.functions import rewrite, text
-from chartloom.operators import features
+from chartloom.operators import extract, features, notes
 from chartloom.functions.text import ngram_range, word_tokens
 
 
@@ -44,3 +44,20 @@ def test_a_chain_of_replacements_is_one_step(spark):
 def test_joined_ngrams(one):
     assert one(lambda c: text.joined_ngrams(word_tokens(c), 2), "A b c") == "a b|b c"
     assert [one(lambda c: text.joined_ngrams(word_tokens(c), 3), v) for v in ("a b", "", None)] == ["", "", ""]
+
+
+def test_closest_looks_within_the_horizon_before_it_ranks(spark):
+    df = spark.createDataFrame([(1, 40), (1, 30), (1, 30), (2, 31), (3, None), (4, -2), (4, 0)], "k int, days int")
+    got = extract.closest(df, ["k"], "days", 30, "closest")
+    assert sorted(map(tuple, got.collect())) == [(1, 30), (1, 30), (4, -2)]
+    assert sorted(map(tuple, extract.closest(df, ["k"], "days", 30).collect())) == [(1, 30), (1, 30), (4, -2), (4, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("<= 30")
+
+
+def test_a_day_travels_once_to_its_note_and_once_to_its_admission(spark):
+    schema = ("PatientID int, ContactDTS date, HospitalAdmitDTS date, HospitalDischargeDTS date, Date_mrs_post_discharge date, "
+              "NoteID int, LineNBR int, NoteTXT string, InpatientNoteTypeDSC string")
+    typed = notes.typed_notes(spark.createDataFrame([], schema), False, keys=["PatientID", "HospitalAdmitDTS"])
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2
