@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# rows that a task of a join sorts: some 240 bytes each
+LINES_A_TASK = 500_000
+
 
 def interval_join(left: DataFrame, lines: DataFrame, key: str, point: str, low: str, high: str) -> DataFrame:
     """Equi-join on `key` where `low <= point <= high`, both ends included.
@@ -17,6 +20,13 @@ def interval_join(left: DataFrame, lines: DataFrame, key: str, point: str, low:
     return left.join(lines, key).where(F.col(point).between(F.col(low), F.col(high)))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """`df` by `key` over as many partitions as hold `LINES_A_TASK` rows each, for a join that sorts it; as it is where the
+    shuffle partitions are enough. For keys of few rows each: partitions asked for by number are not split at run time."""
+    asked = -(-df.count() // LINES_A_TASK)
+    return df if asked <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(asked, key)
+
+
 def adults(df: DataFrame, age: str = "Age", at_least: int = 18) -> DataFrame:
     return df.where(F.col(age) >= at_least)
 

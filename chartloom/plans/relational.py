@@ -269,7 +269,7 @@ SELECT 'closest' AS mode, o_orderkey, l_partkey, l_linenumber, days
 FROM (SELECT *, min(days) OVER (PARTITION BY o_orderkey) AS least_days FROM d) WHERE days = least_days AND days <= 30""")
 def closest_mention(t: Tables):
     lines = t.lineitem.withColumn("contact", F.to_date("l_shipdate")).withColumnRenamed("l_orderkey", "key")
-    near = joins.interval_join(stays(t).withColumnRenamed("o_orderkey", "key"), lines, "key", "contact", "admit",
+    near = joins.interval_join(stays(t).withColumnRenamed("o_orderkey", "key"), joins.dealt(lines, "key"), "key", "contact", "admit",
                                "discharge")
     days = near.select(F.col("key").alias("o_orderkey"), "l_partkey", "l_linenumber",
                        F.datediff("discharge", "contact").alias("days"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chartloom.functions import rewrite, text
-from chartloom.operators import extract, features, notes
+from chartloom.operators import extract, features, joins, notes
 from chartloom.functions.text import ngram_range, word_tokens
 
 
@@ -61,3 +61,12 @@ def test_a_day_travels_once_to_its_note_and_once_to_its_admission(spark):
     typed = notes.typed_notes(spark.createDataFrame([], schema), False, keys=["PatientID", "HospitalAdmitDTS"])
     plan = typed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 2
+
+
+def test_a_task_of_a_join_sorts_a_bounded_share(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 300).alias("key"))
+    assert joins.dealt(df, "key") is df
+    monkeypatch.setattr(joins, "LINES_A_TASK", 50)
+    more = joins.dealt(df, "key")
+    assert more.rdd.getNumPartitions() == 20
+    assert more.groupBy("key").count().orderBy("key").collect() == df.groupBy("key").count().orderBy("key").collect()
