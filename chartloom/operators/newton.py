@@ -21,6 +21,9 @@ MAX_STEPS = 200
 EXACT = 1e-4              # how far an optimality condition may be missed, as a share of the penalty
 NEAR = 0.7                # features whose gradient reaches this share of the penalty may move in the next step
 FALL = 1e-4               # share of the promised fall of the objective that a step must bring
+NOISE = 1e-13             # share of the objective by which its sums may be off
+SWEEPS = 3                # turns of all coordinates between two joint moves
+RIDGE = 1e-9              # added share of each width in a joint move
 
 
 @dataclass
@@ -57,63 +60,98 @@ def _rows(df: DataFrame) -> DataFrame:
     return rows.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def _halved(curves: np.ndarray) -> np.ndarray:
+    """The upper triangle, in single precision: it only steers steps, whose end is tested by the gradient."""
+    return curves[np.triu_indices(len(curves))].astype(np.float32)
+
+
+def _whole(half: np.ndarray, size: int) -> np.ndarray:
+    curves = np.zeros((size, size))
+    curves[np.triu_indices(size)] = half
+    return np.triu(curves) + np.triu(curves, 1).T
+
+
 def _sums(df: DataFrame, settings: dict[int, Setting], size: int) -> DataFrame:
-    """(setting, sums): weight, loss, gradient and second derivatives of a task's rows at the setting's trial."""
+    """(setting, sums, curves): weight, loss and gradient, and second derivatives, of a task's rows at the setting's trial."""
     known = df.sparkSession.sparkContext.broadcast({k: (s.trial(), s.fold, s.movable) for k, s in settings.items()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tried = known.value
         weights = np.array([t for t, _, _ in tried.values()]).T
-        sums = {k: np.zeros(2 + size + len(m) ** 2) for k, (_, _, m) in tried.items()}
+        sums = {k: np.zeros(2 + size) for k in tried}
+        curves = {k: np.zeros((len(m), len(m))) for k, (_, _, m) in tried.items()}
         for x, sign, fold, w in _chunks(batches, size):
             margins = sign[:, None] * (x @ weights)
             for i, (k, (_, out, movable)) in enumerate(tried.items()):
-                own, margin = np.where(fold != out, w[:, out], 0.0), margins[:, i]
+                inside = np.flatnonzero((fold != out) & (w[:, out] > 0))
+                own, margin = w[inside, out], margins[inside, i]
                 wrong = np.exp(-np.logaddexp(0, margin))          # probability of the other class
-                near = x[:, movable]
-                sums[k] += np.concatenate([[own.sum(), own @ np.logaddexp(0, -margin)], -(own * sign * wrong) @ x,
-                                           (near.T @ (near * (own * wrong * (1 - wrong))[:, None])).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
-                                         names=["setting", "sums"])
-    return _rows(df).mapInArrow(add, "setting int, sums binary")
-
-
-def descend(gradient: np.ndarray, curves: np.ndarray, start: np.ndarray, penalty: float, sweeps: int = 250) -> np.ndarray:
-    """Minimum over w of gradient (w - start) + (w - start) curves (w - start) / 2 + penalty |w|, coordinate by coordinate."""
-    w, slope, widths = start.copy(), gradient.copy(), np.diag(curves)
-    movable = np.flatnonzero(widths > 0)
-    turn = movable
-    for _ in range(sweeps):
-        most = 0.0
-        for j in turn:
-            free = w[j] * widths[j] - slope[j]
-            moved = np.sign(free) * max(abs(free) - penalty, 0.0) / widths[j] - w[j]
-            if moved:
-                w[j] += moved
-                slope += moved * curves[j]
-                most = max(most, abs(moved) * widths[j])
-        if most <= penalty * EXACT / 10:
-            if len(turn) == len(movable):
+                pull = np.zeros(len(x))
+                pull[inside] = -own * sign[inside] * wrong
+                sums[k] += np.concatenate([[own.sum(), own @ np.logaddexp(0, -margin)], pull @ x])
+                near = x[np.ix_(inside, movable)] * np.sqrt(own * wrong * (1 - wrong))[:, None]
+                curves[k] += near.T @ near                        # of one table with itself: half the products
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary()),
+             pa.array([_halved(c).tobytes() for c in curves.values()], pa.binary())], names=["setting", "sums", "curves"])
+    return _rows(df).mapInArrow(add, "setting int, sums binary, curves binary")
+
+
+def _sweep(w: np.ndarray, slope: np.ndarray, curves: np.ndarray, penalty: float) -> None:
+    """A turn for every coordinate, in place: the minimum along it."""
+    widths = np.diag(curves)
+    for j in np.flatnonzero(widths > 0):
+        free = w[j] * widths[j] - slope[j]
+        moved = np.sign(free) * max(abs(free) - penalty, 0.0) / widths[j] - w[j]
+        if moved:
+            w[j] += moved
+            slope += moved * curves[j]
+
+
+def _slack(w: np.ndarray, slope: np.ndarray, penalty: float) -> np.ndarray:
+    """By how much each coordinate's optimality condition is missed."""
+    return np.where(w != 0, np.abs(slope + penalty * np.sign(w)), np.maximum(np.abs(slope) - penalty, 0))
+
+
+def descend(gradient: np.ndarray, curves: np.ndarray, start: np.ndarray, penalty: float, rounds: int = 100) -> np.ndarray:
+    """Minimum over w of gradient (w - start) + (w - start) curves (w - start) / 2 + penalty |w|.
+
+    Sweeps over the coordinates find which of them move; the ones that are not zero then go together to the minimum for
+    their signs, as far as the first sign change: that one stops at zero and the others go on.
+    """
+    w, slope, usable = start.copy(), gradient.copy(), np.diag(curves) > 0
+    for _ in range(rounds):
+        for _ in range(SWEEPS):
+            _sweep(w, slope, curves, penalty)
+        while len(held := np.flatnonzero((w != 0) & usable)):
+            inner = curves[np.ix_(held, held)]
+            inner[np.diag_indices(len(held))] *= 1 + RIDGE        # equal features have no single minimum
+            move = np.linalg.solve(inner, -(slope[held] + penalty * np.sign(w[held])))
+            turn = w[held] * (w[held] + move) < 0
+            share = np.where(turn, -w[held] / np.where(turn, move, 1.0), 1.0)
+            first = share.min()
+            w[held] += first * move
+            w[held[turn & (share == first)]] = 0.0
+            slope = gradient + curves @ (w - start)
+            if first == 1.0:
                 break
-            turn = movable                                    # every feature has its turn before the end
-        else:
-            turn = movable[w[movable] != 0] if len(turn) == len(movable) else turn
+        if _slack(w, slope, penalty)[usable].max(initial=0.0) <= penalty * EXACT / 10:
+            break
     return w
 
 
-def _advance(s: Setting, total: np.ndarray, size: int) -> Setting:
+def _advance(s: Setting, total: np.ndarray, half: np.ndarray, size: int) -> Setting:
     """Take or halve the step tried; if taken, aim at the next or end."""
     weight, here = total[0], s.trial()
     value = total[1] / weight + s.penalty * np.abs(here).sum()
-    if value > s.value + FALL * s.step * s.promised and s.step > 1e-9:
+    if value > s.value + FALL * s.step * s.promised + NOISE * abs(s.value) and s.step > 1e-9:
         return Setting(s.penalty, s.fold, s.base, s.towards, s.step / 2, s.value, s.promised, s.movable)
-    gradient = total[2:2 + size] / weight
-    slack = np.where(here != 0, np.abs(gradient + s.penalty * np.sign(here)), np.maximum(np.abs(gradient) - s.penalty, 0))
-    if slack.max() <= EXACT * s.penalty or s.step <= 1e-9:
+    gradient = total[2:] / weight
+    if _slack(here, gradient, s.penalty).max() <= EXACT * s.penalty or s.step <= 1e-9:
         return Setting(s.penalty, s.fold, here, np.zeros(size), value=value, done=True)
     goal = here.copy()
     if len(s.movable):
-        curves = total[2 + size:].reshape(len(s.movable), -1) / weight
+        curves = _whole(half, len(s.movable)) / weight
         goal[s.movable] = descend(gradient[s.movable], curves, here[s.movable], s.penalty)
     promised = gradient @ (goal - here) + s.penalty * (np.abs(goal).sum() - np.abs(here).sum())
     movable = np.flatnonzero((goal != 0) | (here != 0) | (np.abs(gradient) >= NEAR * s.penalty))
@@ -137,7 +175,8 @@ def fit_settings(rows: DataFrame, settings: list[tuple[float, int]]) -> list[np.
 
         def advance(part: pd.DataFrame) -> pd.DataFrame:
             k = int(part["setting"].iloc[0])
-            s = _advance(known.value[k], sum(np.frombuffer(b) for b in part["sums"]), size)
+            half = sum(np.frombuffer(b, np.float32).astype(float) for b in part["curves"])
+            s = _advance(known.value[k], sum(np.frombuffer(b) for b in part["sums"]), half, size)
             return pd.DataFrame([(k, s.base, s.towards, s.step, s.value, s.promised, s.movable, s.done)],
                                 columns=["setting", "base", "towards", "step", "value", "promised", "movable", "done"])
         # a number of partitions by name is kept: the settings of a small table are solved side by side too
